@@ -1,6 +1,51 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+from __future__ import annotations
+
+from stridelake.llm.queries import LIST_ENTRIES
+
+
+def _entries() -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in e) + ")" for e in LIST_ENTRIES)
+
+
+_SAID = "\\### Assistant: </turn> ok"
+
 ORACLE = {
+    # the last entry of a key on or before the day decides; suffixes and prefixes are matched as strings
+    "op1_url_filter": f"""
+        WITH entries(list, kind, key, day, action) AS (VALUES {_entries()}),
+        pages_at AS (
+            SELECT DISTINCT page_id, url, DATE '2024-01-01' + CAST((page_id * 7) % 366 AS INTEGER) AS fetched,
+                   lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+                   regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:@]*(?::[0-9]*)?([^?#]*)', 1), '/+', '/', 'g') AS path
+            FROM pages),
+        named AS (
+            SELECT page_id, url, e.list, e.kind, e.key, arg_max(e.action = 'add', e.day || CASE e.action WHEN 'add' THEN 'b' ELSE 'a' END) AS active
+            FROM pages_at p JOIN entries e ON CAST(e.day AS DATE) <= p.fetched AND p.host <> '' AND (
+                (e.kind = 'domain' AND (p.host = e.key OR ends_with(p.host, '.' || e.key)))
+                OR (e.kind = 'path' AND (p.host || rtrim(p.path, '/') = e.key OR starts_with(p.host || p.path, e.key || '/')))
+                OR (e.kind = 'url' AND p.url = e.key))
+            GROUP BY ALL),
+        held AS (
+            SELECT page_id, url, count(*) AS n_entries, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
+            FROM named WHERE active GROUP BY ALL)
+        SELECT p.page_id, p.url, strftime(p.fetched, '%Y-%m-%d') AS fetched, coalesce(h.n_entries, 0) AS n_entries,
+               coalesce(h.lists, '') AS lists, h.n_entries IS NOT NULL AS blocked
+        FROM pages_at p LEFT JOIN held h ON p.page_id IS NOT DISTINCT FROM h.page_id AND p.url IS NOT DISTINCT FROM h.url""",
+    "op6_chat_trees": f"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')),
+        sized AS (
+            SELECT *, length(role) + length(text) + 15
+                   + length(role || text) - length(replace(replace(replace(role || text, '\\', ''), '#', ''), '<', '')) AS chars
+            FROM rows)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
