@@ -48,7 +48,7 @@ def radix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             "groups",
         )
         left = groups.agg(F.max("left")).first()[0]
-        rows = base.withColumn("digit", head).join(groups, ["g1", "g2", "digit"], "left")
+        rows = base.withColumn("digit", head).join(groups.hint("merge"), ["g1", "g2", "digit"], "left")
         ends = F.col("left").isNull() | (F.col("left") <= size)
         rows = cut(
             rows.select(
