@@ -1,10 +1,6 @@
-"""The queries of the engine's own operators and their oracles."""
+"""All queries of the engine's own operators and their oracles."""
 
-from __future__ import annotations
+from stridelake.plans import aggregates, filters, functions, graphs, joins, sampling, studies, windows  # noqa: F401
+from stridelake.plans.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
