@@ -54,8 +54,9 @@ def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     rounds, limit = [step], step.count()
     while not step.filter("up is not null").isEmpty() and (1 << (len(rounds) - 1)) <= limit:
         above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"), F.col("root").alias("root2"))
-        step = step.join(above, ["tree", "up"], "left")
-        step = cut(step.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("root", "root2").alias("root")), "pointers")
+        risen = step.filter("up is not null").join(above, ["tree", "up"])  # messages that have reached their root are carried along
+        risen = risen.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("depth") + F.col("d2")).alias("depth"), F.coalesce("root", "root2").alias("root"))
+        step = cut(step.filter("up is null").unionByName(risen), "pointers")
         rounds.append(step)
     inner = m.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     leaves = step.filter("root is not null").join(inner, ["tree", "node"], "left_anti")
