@@ -19,7 +19,9 @@
    component against the rest, and the rest among themselves.
 
 No node is capped or sampled.  All pairs of a group are never emitted: agreement
-is tested where the rows meet, and only promising pairs leave the task.
+is tested where the rows meet.  Where few pairs of a block are promising the pairs
+leave the task, and are confirmed one by one; else the block's members do, and are
+confirmed together, so what moves grows with the rows.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ DEPTH = 4
 LEAF = 256
 BLOCK = 512
 SPARE = 256
+DENSE = 2  # pairs for each row from which a block is confirmed as a whole
+COLUMNS = 4096
 BLOCK_BYTES = 2 << 20
 #: Agreeing tokens of 64 below which a pair isn't confirmed; at a similarity of 0.8 fewer come with a chance of 3e-6.
 AGREE_AT_80 = 36
@@ -227,7 +231,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _residual(nodes: DataFrame, state: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Promising pairs of classes that share a node but not a component."""
+    """Promising pairs of classes that share a node but not a component: (block, a, b).
+
+    A block with few such pairs gives them as (null, a, b).  A block with many
+    gives its members in them instead, as (block, class, component), so what leaves a task
+    grows with its rows and not with their square.
+    """
     rows = nodes.select("node", "c").join(state, "c")
     mixed = cut(rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")), "mixed").groupBy("node")
     mixed = cut(mixed.agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps"), "main")
@@ -245,7 +254,8 @@ def _residual(nodes: DataFrame, state: DataFrame, classes: DataFrame, least: int
     sent = F.when(F.col("n_all") <= BLOCK, small.cast(to)).when(F.col("is_main"), main.cast(to)).otherwise(F.concat(cross.cast(to), among.cast(to)))
     rows = rows.select("node", "c", "comp", F.explode(sent).alias("g")).select("node", "g.kind", "g.i", "g.j", "g.side", "c", "comp").join(low, "c")
 
-    def compare(held: list) -> Iterator[pa.RecordBatch]:
+    def compare(key: tuple, held: list) -> Iterator[pa.RecordBatch]:
+        block = int(X.mix(np.array([key[0]], np.int64).astype(np.uint64) ^ np.array([(key[1] << 56) + (key[2] << 28) + key[3] + 1], np.uint64)).astype(np.int64)[0])
         side = np.array([h[0] for h in held])
         c, comp = [h[1] for h in held], [h[2] for h in held]
         names: dict = {}
@@ -253,17 +263,24 @@ def _residual(nodes: DataFrame, state: DataFrame, classes: DataFrame, least: int
         sig = _low(np.frombuffer(b"".join(h[3] for h in held), "<u4").reshape(-1, COORDS))
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         left = left if (side == 0).any() else np.flatnonzero(side == 2)
-        out_a, out_b = [], []
+        pairs, member, many = [], np.zeros(len(held), bool), 0
         for lo in range(0, len(left), 64):
             x = left[lo : lo + 64]
             hit = (sig[x][:, None, :] == sig[right][None, :, :]).sum(axis=2) >= least
             hit &= comp[x][:, None] != comp[right][None, :]
-            for p, q in zip(*np.nonzero(hit), strict=True):
-                a, b = c[x[p]], c[right[q]]
-                out_a.append(min(a, b))
-                out_b.append(max(a, b))
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+            p, q = np.nonzero(hit)
+            member[x[p]] = member[right[q]] = True
+            many += len(p)
+            if many <= DENSE * len(held):
+                pairs += zip(x[p].tolist(), right[q].tolist(), strict=True)
+        if many > DENSE * len(held):
+            own = np.flatnonzero(member).tolist()
+            yield _rows([block] * len(own), [c[i] for i in own], [held[i][2] for i in own])
+        elif pairs:
+            yield _rows([None] * len(pairs), [min(c[i], c[j]) for i, j in pairs], [max(c[i], c[j]) for i, j in pairs])
+
+    def _rows(block: list, a: list, b: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["block", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -271,15 +288,71 @@ def _residual(nodes: DataFrame, state: DataFrame, classes: DataFrame, least: int
             for r in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if r[:4] != key:
                     if len(held) > 1:
-                        yield from compare(held)
+                        yield from compare(key, held)
                     key, held = r[:4], []
                 held.append((r[4], r[5], r[6], r[7]))
         if len(held) > 1:
-            yield from compare(held)
+            yield from compare(key, held)
 
     keys = ["node", "kind", "i", "j"]
     rows = rows.select(*keys, "side", "c", "comp", "sig").repartition(width(nodes.sparkSession), *keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(run, "block long, a binary, b binary")
+
+
+def _confirmed_blocks(members: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
+    """Links between components within blocks (block, class, component), from all members' full sets.
+
+    Of the links of a block those are given that join components not joined yet.
+    """
+
+    def settle(held: list) -> Iterator[pa.RecordBatch]:
+        s, bound = shingle_sets(*X.buffers(pa.array([h[2] for h in held], pa.string())), k)
+        n = np.diff(bound)
+        _, col, count = np.unique(s, return_inverse=True, return_counts=True)
+        shared = count[col] > 1
+        row, col = np.repeat(np.arange(len(held)), n)[shared], col[shared]
+        _, col = np.unique(col, return_inverse=True)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        both = np.zeros((len(held), len(held)), np.float32)
+        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+            a, z = np.searchsorted(col, (lo, lo + COLUMNS))
+            dense = np.zeros((len(held), COLUMNS), np.float32)
+            dense[row[a:z], col[a:z] - lo] = 1
+            both += dense @ dense.T
+        both = both.astype(np.int64)
+        hit = 100 * both >= pct * (n[:, None] + n[None, :] - both)
+        root: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
+            x, y = find(held[i][1]), find(held[j][1])
+            if x != y:
+                root[x] = y
+                out.append((held[i][0], held[j][0]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if r[0] != key:
+                    if len(held) > 1:
+                        yield from settle(held)
+                    key, held = r[0], []
+                held.append(r[1:])
+        if len(held) > 1:
+            yield from settle(held)
+
+    rows = members.select("block", F.col("a").alias("c"), F.col("b").alias("comp")).join(texts.hint("merge"), "c").select("block", "c", "comp", "text")
+    rows = rows.repartition(width(members.sparkSession), "block").sortWithinPartitions("block", "c")
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, similarity_pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,11 +384,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, similarity_pct: int = 80, id_co
     texts = cut(src.withColumn("nid", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0))).join(seen.hint("merge").select("c", F.col("id").isNull().alias("nid"), F.coalesce("id", F.lit(0)).alias("id"), "fp"), ["nid", "id", "fp"]).select("c", "text").groupBy("c").agg(F.min("text").alias("text")), "texts")
     links = cut(_confirmed(first, texts, k, similarity_pct), "links1")
     state = components(seen, links)
-    more = cut(_residual(nodes, state, classes, least).join(first, ["a", "b"], "left_anti"), "residual")
-    if not more.isEmpty():
-        links2 = cut(_confirmed(more, texts, k, similarity_pct), "links2")
-        if not links2.isEmpty():
-            state = components(seen, links.unionByName(links2))
+    more = cut(_residual(nodes, state, classes, least), "residual")
+    sparse = more.filter("block is null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    found = _confirmed(sparse, texts, k, similarity_pct).unionByName(_confirmed_blocks(more.filter("block is not null"), texts, k, similarity_pct))
+    links2 = cut(found, "links2")
+    if not links2.isEmpty():
+        state = components(seen, links.unionByName(links2))
     owned = classes.select("c", "label").join(state, "c", "left").select("c", "label", F.coalesce("comp", "c").alias("comp"))
     lowest = cut(owned.groupBy("comp").agg(F.min("label").alias("component_id")), "lowest")
     named = cut(owned.join(lowest, "comp").select("c", "component_id"), "named")
