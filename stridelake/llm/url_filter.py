@@ -79,6 +79,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     cond = held
     for k in on:
         cond = cond & (c[k] == spans[k])
-    hit = c.join(spans, cond, "left").select("id", c["url"], "fetched", "list", "since")
-    out = hit.groupBy("id", "url", "fetched").agg(F.count("since").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+    entry = F.when(F.col("since").isNotNull(), F.struct("list", c["kind"], c["key"]))
+    hit = c.join(spans, cond, "left").select("id", c["url"], "fetched", entry.alias("entry"))
+    held = hit.groupBy("id", "url", "fetched").agg(F.collect_set("entry").alias("held"))  # sets, as a capture may be repeated
+    names = F.array_sort(F.array_distinct(F.transform("held", lambda e: e["list"])))
+    out = held.select("id", "url", "fetched", F.size("held").cast("long").alias("n_entries"), F.array_join(names, ",").alias("lists"))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "fetched", "n_entries", "lists", (F.col("n_entries") > 0).alias("blocked"))
