@@ -7,7 +7,7 @@ below it, and what it can't take goes to its siblings, by weight, until they are
 full too.  Only what a whole family can't take is left to the ancestors, who
 have divided with that family's capacity in view.
 
-A leaf's documents stand in an order seeded for each epoch; a leaf takes whole
+A leaf's documents stand in an order of hashes of seed, epoch and id; a leaf takes whole
 epochs and then the prefix of the next one whose tokens fit what is left.  The
 prefix's end is found by counting tokens by ever finer ranges of the order's hash,
 so no task orders a whole leaf.
@@ -99,7 +99,8 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, f
     rows = rows.join(F.broadcast(plans), names)
     keep = ["id", "fp", *names, "n_tokens", "leaf_budget", "copies"]
     taken = rows.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select(*keep, "epoch")
-    part = rows.filter("rest > 0").withColumn("order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("whole"), "id", "fp"), 64 - BITS))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("id").cast("string"))
+    part = rows.filter("rest > 0").withColumn("order", F.conv(F.substring(F.sha2(key, 256), 1, BITS // 4), 16, 10).cast("long"))
     prefix = _prefix(part, names).select(*keep, F.col("whole").alias("epoch"))
     out = taken.unionByName(prefix).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select(F.col("id").alias(id_col), "fp", *names, "epoch", "n_tokens", "leaf_budget")
