@@ -102,9 +102,9 @@ def test_latest_of_a_log(spark, tmp_path):
 def test_windows_close_behind_the_watermark(spark, tmp_path):
     import os
 
-    parts = [[("a", "2024-01-01T00:00:00", 1.0), ("a", "2024-01-01T00:01:00", 3.0)], [("a", "2024-01-01T01:00:00", 7.0)], [("a", "2024-01-01T00:00:30", 100.0), ("a", "2024-01-01T02:00:00", 8.0)], [("a", "2024-01-01T04:00:00", 8.0)]]
+    parts = [[("a", "2024-01-01T00:00:00", 1.0), ("a", "2024-01-01T00:01:00", 3.0)], [("a", "2024-01-01T01:00:00", 7.0)], [("a", "2024-01-01T02:00:00", 8.0)], [("a", "2024-01-01T00:00:30", 100.0), ("a", "2024-01-01T04:00:00", 8.0)], [("a", "2024-01-01T05:00:00", 8.0)]]
     write_logs(tmp_path, parts)
-    for i in range(4):
+    for i in range(5):
         os.utime(tmp_path / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
     drain(logs.windowed(logs.read_log(spark, str(tmp_path), LOG, 1), "ts", "run", "value"), "append", "wins")
     got = sorted((str(r.start)[11:16], r.mean, r.n) for r in spark.table("wins").collect())
