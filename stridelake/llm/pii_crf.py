@@ -35,6 +35,7 @@ _DIGIT = re.compile(r"[0-9]")
 
 LABELS = 1 + len(KINDS)
 SAMPLE_DOCS = 600
+LONGEST_SAMPLE = 20_000  # bytes of a sampled text
 ROUNDS = 6
 DAMPING = 0.3
 CONFIDENCE = 0.9
@@ -268,12 +269,16 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     empty text, or one without suspect tokens, has no spans and the digest of
     the empty string.  Rows are independent: repeated ids and null ids give one
     result a row.  The field is fitted on at most ``sample_docs`` rows with a
-    digit or an ``@``, the first in the order of a hash of id and text; with none,
-    it adds nothing.
+    digit or an ``@`` and fewer than ``LONGEST_SAMPLE`` bytes, the first in the order of
+    a hash of id and text; with none, it adds nothing.  All rows are labelled.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    picked = src.filter(F.col("text").rlike("[0-9@]") & (F.length("text") < 20000)).orderBy(F.xxhash64("id", "text"), "id").limit(sample_docs).collect()
-    weights = src.sparkSession.sparkContext.broadcast(fit([r.text for r in picked]))
+    spark = src.sparkSession
+    named = src.filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") < LONGEST_SAMPLE)).select("text", F.xxhash64("id", "text").alias("h"))
+    first = named.select("h").orderBy("h").limit(sample_docs).collect()  # the numbers of the sample, then its texts
+    chosen = named.join(F.broadcast(spark.createDataFrame([tuple(r) for r in first], "h long").distinct()), "h") if first else named.limit(0)
+    picked = sorted({(r.h, r.text) for r in chosen.groupBy("h").agg(F.min("text").alias("text")).collect()})[:sample_docs]
+    weights = spark.sparkContext.broadcast(fit([text for _, text in picked]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
