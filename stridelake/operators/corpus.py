@@ -66,12 +66,15 @@ def content_hash(rows: DataFrame, group: str, key: str, line: Column, bucket: in
 
 
 def append_rows(existing: DataFrame, new: DataFrame, keys: Sequence[str], index_col: str, order: Sequence[str]) -> DataFrame:
-    """New rows with indexes that go on after the existing ones; keys that exist already are an error."""
+    """New rows with indexes that go on after the existing ones; keys that exist already are an error.
+
+    What is appended is one shard, small enough to be ranked in one task; the corpus is only joined.
+    """
     clash = new.join(existing.select(*keys), list(keys), "left_semi").limit(1).count() + duplicate_keys(new, keys).limit(1).count()
     if clash:
         raise ValueError("keys exist already or repeat")
     start = existing.agg(F.max(index_col)).first()[0]
-    return new.withColumn(index_col, F.row_number().over(Window.orderBy(*order)) + (-1 if start is None else int(start)))
+    return new.withColumn(index_col, F.row_number().over(Window.orderBy(*order)).cast("long") + (-1 if start is None else int(start)))
 
 
 def validate_corpus(index: DataFrame, data: DataFrame, per_seed: int) -> DataFrame:

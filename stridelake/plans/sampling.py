@@ -25,9 +25,9 @@ def sm1_split(spark: SparkSession, sf: str) -> DataFrame:
     return S.split(_episodes(spark, sf), ["variant"], "episode_idx", 7, 0.9, 20).select("variant", "episode_idx", "split")
 
 
-@query("""SELECT n_name, CAST(CASE n_name WHEN 'CHINA' THEN 5 WHEN 'FRANCE' THEN 9 ELSE 20 END AS INTEGER) AS keep FROM nation""")
+@query("""SELECT n_name, CAST(CASE n_name WHEN 'NATION_7' THEN 5 WHEN 'NATION_12' THEN 9 ELSE 20 END AS INTEGER) AS keep FROM nation""")
 def sm2_keep_overrides(spark: SparkSession, sf: str) -> DataFrame:
-    o = spark.createDataFrame([("CHINA", 5), ("FRANCE", 9)], "n_name string, keep int")
+    o = spark.createDataFrame([("NATION_7", 5), ("NATION_12", 9)], "n_name string, keep int")
     return S.keep_overrides(table(spark, sf, "nation").select("n_name"), o, "n_name", 20)
 
 
