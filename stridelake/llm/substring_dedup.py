@@ -12,7 +12,7 @@
 3. *Exact grouping.*  The others are grouped by a 96-bit key.  Within a
    block only the earliest occurrence of a key can be the earliest of all, so
    the later ones are settled where they are and one a block and key travels.  Each
-   key's owner marks all but the earliest.
+   key's owner marks all but the earliest, and the marks are gathered by document.
 
 The sketch's width follows the number of words up to ``MAX_CELLS``, which bounds
 what is broadcast (a quarter of a byte a cell over both rows).  Past that the
@@ -38,7 +38,8 @@ ROWS = 2
 MAX_CELLS = 1 << 30
 RANGE = 1 << 18  # cells of one merged range
 BLOCK_BYTES = 4 << 20
-BLOCK_GROUP = 1 << 22  # windows that share one local pass
+BLOCK_GROUP = 1 << 20  # anchors that share one cell list
+MARK_GROUP = 1 << 20  # marks that are packed together
 
 
 def _anchors(hashes: np.ndarray, first: np.ndarray, k: int, a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,14 +141,18 @@ def _sketch(src: DataFrame, k: int, a: int, cells: int) -> DataFrame:
 
 
 def _marks(src: DataFrame, k: int, a: int, cells: int, sketch: list[tuple[int, bytes]]) -> DataFrame:
-    """(id, fp, starts): word numbers of windows that also start earlier, in lists by document."""
+    """(id, fp, starts): word numbers of windows that also start earlier, one row for each document that has some.
+
+    Keys are settled by their owners, and the marks then gathered by document in
+    packed rows, so rows grow with the documents and not with documents times owners.
+    """
     spark = src.sparkSession
     ranges, step = max(1, cells // RANGE), min(RANGE, cells)
     packed = np.zeros(ROWS * cells // 8, np.uint8)
     for part, bits in sketch:
         packed[part * step // 8 : (part + 1) * step // 8] = np.frombuffer(bits, np.uint8)
     shared = spark.sparkContext.broadcast(packed.tobytes())
-    owners = 16 * width(spark)
+    owners = 4 * width(spark)
 
     def flagged(h: np.ndarray) -> np.ndarray:
         bits, hit = np.frombuffer(shared.value, np.uint8), np.ones(len(h), bool)
@@ -198,22 +203,64 @@ def _marks(src: DataFrame, k: int, a: int, cells: int, sketch: list[tuple[int, b
             yield rows_of(out, 0, blobs)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, held = None, []
+        owner, held, marks = None, [], []
         for batch in batches:
             for o, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if kind:
-                    yield _unpack_marks(blob.as_py())
-                    continue
-                if o != owner:
+                    marks.append(_unpack_marks(blob.as_py()))
+                else:
+                    if o != owner:
+                        if held:
+                            marks.append(_settle(held))
+                        owner, held = o, []
+                    held.append(blob.as_py())
+                if sum(len(m[2]) for m in marks) >= MARK_GROUP:
+                    yield by_document(marks)
+                    marks = []
+        if held:
+            marks.append(_settle(held))
+        if any(len(m[2]) for m in marks):
+            yield by_document(marks)
+
+    def by_document(marks: list) -> pa.RecordBatch:
+        ids, fps, p = (np.concatenate(x) for x in zip(*marks, strict=True))
+        to = (X.mix(ids.astype(np.uint64) ^ X.mix(fps.astype(np.uint64))) % np.uint64(owners)).astype(np.int64)
+        order = np.lexsort((p, fps, ids, to))
+        ids, fps, p, to = ids[order], fps[order], p[order], to[order]
+        cuts = np.flatnonzero(np.diff(to, prepend=-1))
+        ends = np.append(cuts[1:], len(to))
+        return rows_of(to[cuts].tolist(), 1, [_pack_marks(ids[lo:hi], fps[lo:hi], p[lo:hi]) for lo, hi in zip(cuts, ends, strict=True)])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for g, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if g != group:
                     if held:
-                        yield _settle(held)
-                    owner, held = o, []
-                held.append(blob.as_py())
+                        yield _documents(held)
+                    group, held = g, []
+                held.append(_unpack_marks(blob.as_py()))
         if held:
-            yield _settle(held)
+            yield _documents(held)
+
+    kind = "owner int, kind byte, blob binary"
+    moved = src.select("id", "fp", "text").mapInArrow(local, kind)
+    settled = moved.repartition(width(spark), "owner").sortWithinPartitions("owner").mapInArrow(own, kind)
+    return settled.repartition(width(spark), "owner").sortWithinPartitions("owner").mapInArrow(gather, "id long, fp long, starts binary")
 
-    moved = src.select("id", "fp", "text").mapInArrow(local, "owner int, kind byte, blob binary")
-    return moved.repartition(width(spark), "owner").sortWithinPartitions("owner").mapInArrow(own, "id long, fp long, starts binary")
+
+Marks = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _documents(held: list[Marks]) -> pa.RecordBatch:
+    """One row for each document: (id, fp, word numbers of its marked windows)."""
+    ids, fps, p = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((p, fps, ids))
+    ids, fps, p = ids[order], fps[order], p[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (fps[1:] != fps[:-1])))) if len(ids) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(ids))
+    starts = [p[lo:hi].astype("<i4").tobytes() for lo, hi in zip(cuts, ends, strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(ids[cuts], pa.int64()), pa.array(fps[cuts], pa.int64()), pa.array(starts, pa.binary())], names=["id", "fp", "starts"])
 
 
 def _pack_marks(ids: np.ndarray, fps: np.ndarray, p: np.ndarray) -> bytes:
@@ -223,16 +270,14 @@ def _pack_marks(ids: np.ndarray, fps: np.ndarray, p: np.ndarray) -> bytes:
     return np.array([len(cuts)], "<i4").tobytes() + ids[cuts].astype("<i8").tobytes() + fps[cuts].astype("<i8").tobytes() + n.astype("<i4").tobytes() + p.astype("<i4").tobytes()
 
 
-def _unpack_marks(blob: bytes) -> pa.RecordBatch:
+def _unpack_marks(blob: bytes) -> Marks:
     d = int(np.frombuffer(blob, "<i4", 1)[0])
     ids, fps = np.frombuffer(blob, "<i8", d, 4), np.frombuffer(blob, "<i8", d, 4 + 8 * d)
     n = np.frombuffer(blob, "<i4", d, 4 + 16 * d)
-    p = np.frombuffer(blob, "<i4", -1, 4 + 20 * d)
-    ends = np.cumsum(n)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array([p[e - m : e].tobytes() for e, m in zip(ends, n, strict=True)], pa.binary())], names=["id", "fp", "starts"])
+    return np.repeat(ids, n), np.repeat(fps, n), np.frombuffer(blob, "<i4", -1, 4 + 20 * d)
 
 
-def _settle(held: list[bytes]) -> pa.RecordBatch:
+def _settle(held: list[bytes]) -> Marks:
     """Marks of all occurrences of one owner's keys but the earliest."""
     parts = []
     for blob in held:
@@ -252,11 +297,7 @@ def _settle(held: list[bytes]) -> pa.RecordBatch:
     same[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
     lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(one))))
     late = same & ((ids != ids[lead]) | (fps != fps[lead]) | (p != p[lead]))
-    ids, fps, p = ids[late], fps[late], p[late]
-    if not len(ids):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["id", "fp", "starts"])
-    order = np.lexsort((p, fps, ids))
-    return _unpack_marks(_pack_marks(ids[order], fps[order], p[order]))
+    return ids[late], fps[late], p[late]
 
 
 def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> DataFrame:
@@ -277,7 +318,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", tex
     wanted = 8 * chars * 2 // (6 * (k - a + 2))
     cells = min(max_cells, max(1 << 16, 1 << int(wanted).bit_length()))
     sketch = [(r.part, bytes(r.bits)) for r in _sketch(src, k, a, cells).toLocalIterator()]
-    marks = cut(_marks(src, k, a, cells, sketch), "marks").groupBy("id", "fp").agg(F.collect_list("starts").alias("starts"))
+    marks = cut(_marks(src, k, a, cells, sketch), "marks")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,17 +328,14 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", tex
                 for text, starts in zip(part.column("text"), part.column("starts"), strict=True):
                     words = text.as_py().encode().split()
                     total.append(len(words))
-                    if starts.is_valid and len(starts):
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        for s in starts:
-                            p = np.frombuffer(s.as_py(), "<i4")
-                            np.add.at(edge, p, 1)
-                            np.add.at(edge, p + k, -1)
+                    if starts.is_valid:
+                        p = np.frombuffer(starts.as_buffer(), "<i4")
+                        edge = np.bincount(p, minlength=len(words) + 1) - np.bincount(p + k, minlength=len(words) + 1)
                         stay = np.cumsum(edge[:-1]) == 0
                         words = [words[i] for i in np.flatnonzero(stay)]
                     gone.append(total[-1] - len(words))
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([part.column("own"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["own", "n_words", "n_removed", "kept_text"])
 
-    out = src.join(marks, ["id", "fp"], "left").select("own", "text", "starts").mapInArrow(apply, "own long, n_words long, n_removed long, kept_text string")
+    out = src.join(marks.hint("merge"), ["id", "fp"], "left").select("own", "text", "starts").mapInArrow(apply, "own long, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("own", id_col)
