@@ -2,39 +2,49 @@
 
 Documents are dealt out by ranges of their id and sorted before they are
 encoded, so each file holds one range in ascending order and the files' ranges
-follow each other.  ORC's integer encoding packs the ids; its row indexes and
+follow each other in the order of ``part``.  ORC's integer encoding packs the ids; its row indexes and
 Bloom filters on ``doc_id`` let a point or range read skip stripes and row
 groups, and its stripes are read in parallel.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm._store import new_path, width
+from stridelake.llm._store import cut, new_path, width
 
 END_ID = 0
 #: Settings of the files.
 ORC_OPTIONS = {
-    "orc.compress": "ZSTD",
+    "orc.compress": "SNAPPY",
     "orc.stripe.size": str(16 << 20),
     "orc.row.index.stride": "1000",
     "orc.create.index": "true",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
-# Texts with other blanks than single spaces and newlines between words are encoded as they are.
-_ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-_NEWLINE = 198  # the id of a newline that stands alone
+#: Blanks other than a space and a newline; texts with one are encoded as they are.
+_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_NEWLINE = array("I", [198]).tobytes()  # the id of a newline that stands alone
+
+
+_SLOTS, _COPIES, _LONGEST_COPY = 1 << 22, 3000, 8000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 up."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordCache:
@@ -42,9 +52,11 @@ class WordCache:
 
     The byte-level pre-tokeniser starts a new piece at a single space and at a
     single newline between words, so pieces never cross them.  Texts are split
-    there and each distinct word is encoded once; the ids of a word are kept
-    as bytes, ready to be joined.  Texts with runs of blanks, or with other
-    blanks, go to the library as they are.
+    there; words, and texts, that come again are kept as the bytes of their ids, words keyed
+    without the space before them, or with the newline that stands in its place.  A word of
+    letters is one piece and goes straight to the library's model, any other word
+    to the library as a text.  Texts with runs of blanks, or with other blanks,
+    go to the library as they are.
     """
 
     def __init__(self, path: str, size: int = CACHE_WORDS):
@@ -52,118 +64,174 @@ class WordCache:
 
         self.lib, self.size = Tokenizer.from_file(path), size
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.letters = _byte_letters()
+        model = self.lib.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # words that come again are kept here
+        self.tokenize, self.space = model.tokenize, self.letters[0x20]
         self.known: dict[str, bytes] = {}
+        self.copies: dict[str, bytes] = {}
+        self.once, self.marked = bytearray(_SLOTS), 0
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Words are keyed without the space before them; a newline in front replaces that space."""
-        known = self.known
-        stems: dict[str, None] = {}
-        for w in words:
-            if (s := w[:-1] if w[-1:] in (".", ",") and w[-2:-1].isalnum() else w) not in known:
-                stems[s] = None
-        spaced = [s for s in stems if s and s[0] != "\n"]
-        if spaced:  # one text, a word a line; the ids between newlines belong to one word
-            ids = np.array(self.lib.encode(" " + "\n ".join(spaced), add_special_tokens=False).ids, "<u4")
-            at = np.concatenate(([-1], np.flatnonzero(ids == _NEWLINE), [len(ids)]))
-            for s, a, z in zip(spaced, at[:-1], at[1:], strict=True):
-                known[s] = ids[a + 1 : z].tobytes()
-        for s in stems:
-            if s not in known:
-                known[s] = self._whole(s or " ")
-        for w in words:
-            if w not in known:
-                known[w] = known[w[:-1]] + self._mark(w[-1])
-
-    def _mark(self, c: str) -> bytes:
-        if (key := "\n" + c) not in self.known:
-            self.known[key] = self._whole(key)
-        return self.known[key][4:]
+        return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _spell(self, w: str) -> str:
+        return w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+
+    def _again(self, s: str) -> bool:
+        """Whether a string has come before: most come once and aren't worth keeping."""
+        slot = hash(s) & (_SLOTS - 1)
+        if self.once[slot]:
+            return True
+        self.once[slot] = 1
+        self.marked += 1
+        if self.marked > _SLOTS // 2:
+            self.once, self.marked = bytearray(_SLOTS), 0
+        return False
+
+    def _word(self, w: str) -> bytes:
+        """The ids of a word that isn't kept; it is, from the second time on."""
+        if w.isalpha():
+            piece = self.space + (w if w.isascii() else self._spell(w))
+            got = array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+        elif w[-1:] in (".", ",") and w[-2:-1].isalnum():  # such a mark is a piece of its own
+            stem, mark = w[:-1], "\n" + w[-1]
+            got = (self.known.get(stem) or self._word(stem)) + (self.known.get(mark) or self._word(mark))[4:]
+        elif w[:1] == "\n" and w[1:].isalpha():
+            got = _NEWLINE + array("I", [t.id for t in self.tokenize(self._spell(w[1:]))]).tobytes()
+        else:
+            got = self._whole(w if w[:1] == "\n" else " " + w)
+        if len(w) < 3 or self._again(w):
+            if len(self.known) >= self.size:
+                self.known.clear()
+            self.known[w] = got
+        return got
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers, without an end id."""
         if not text:
             return b""
-        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or _ODD.search(text):
+        got = self.copies.get(text)
+        if got is None:
+            got = self._encode(text)
+            if len(text) < _LONGEST_COPY and self._again(text):
+                if len(self.copies) >= _COPIES:
+                    self.copies.clear()
+                self.copies[text] = got
+        return got
+
+    def _encode(self, text: str) -> bytes:
+        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or any(c in text for c in _ODD):
             return self._whole(text)
         head, *rest = text.replace("\n", " \n").split(" ")
-        out = [self._whole(head)] if head else []
-        for lo in range(0, len(rest), 20_000):
-            part = rest[lo : lo + 20_000]
-            try:
-                out.append(b"".join([self.known[w] for w in part]))
-            except KeyError:
-                if len(self.known) > self.size:
-                    self.known.clear()
-                self._learn([w for w in dict.fromkeys(part) if w not in self.known])
-                out.append(b"".join([self.known[w] for w in part]))
-        return b"".join(out)
+        get, word = self.known.get, self._word
+        first = "\n" + head
+        lead = (get(first) or word(first))[4:] if head else b""
+        return lead + b"".join([get(w) or word(w) for w in rest])
+
+
+_CACHES: dict[str, WordCache] = {}
+
+
+def shared_cache(path: str) -> WordCache:
+    """One cache for all tasks that a worker process runs."""
+    if path not in _CACHES:
+        _CACHES[path] = WordCache(path)
+    return _CACHES[path]
+
+
+def _deal(src: DataFrame, n: int) -> DataFrame:
+    """Rows dealt to ``n`` partitions by ranges of ``doc_id``, with the range's number as ``part``; nulls are in the first.
+
+    The ranges' bounds come from the ids alone, so the texts are read once; a
+    range partitioner would read them once more to sample them.  Each range is
+    given a key that Spark's hash partitioner sends to a partition of its own.
+    """
+    bounds = src.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    bounds = sorted(set(bounds or []))
+    if not bounds:
+        return src.coalesce(1).withColumn("part", F.lit(0))
+    spark = src.sparkSession
+    homes = {r.home: r.key for r in spark.range(40 * n).select(F.col("id").cast("int").alias("key")).groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("home")).agg(F.min("key").alias("key")).collect()}
+    keys = [homes.get(i, i) for i in range(len(bounds) + 1)]
+    b, steps = F.array(*(F.lit(x).cast("long") for x in bounds)), F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+
+    def halve(s, _):  # the number of bounds below the id, by halving
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = (s["lo"] < s["hi"]) & (F.get(b, mid) < F.col("doc_id"))
+        return F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda s: s["lo"])
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(found)
+    return src.withColumn("part", part).repartition(n, F.get(F.array(*map(F.lit, keys)), F.col("part")))
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> str:
-    """Encode every whole text, append the end id and write (part, doc_id, ids) as ORC under ``path``.
+    """Encode every whole text, append the end id and write (part, doc_id, n_tokens, ids) as ORC under ``path``.
 
     A null text counts as empty and yields the end id alone.  Rows that repeat
     an id are all written, next to each other; null ids come first.
     """
-    spark = docs.sparkSession
-    n = partitions or width(spark)
+    n = partitions or width(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = src.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    dealt = _deal(src, n).sortWithinPartitions("part", "doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = WordCache(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+        cache, end = shared_cache(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                coded = [cache.encode(t.as_py()) + end for t in part.column("text")]
-                flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
-                offsets = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], names=["part", "doc_id", "ids"])
+                coded = [cache.encode(t) for t in part.column("text").to_pylist()]
+                offsets = np.cumsum([0] + [len(c) // 4 + 1 for c in coded], dtype=np.int32)
+                flat = np.frombuffer(b"".join([x for c in coded for x in (c, end)]), "<i4")
+                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(offsets, flat)], names=["part", "doc_id", "n_tokens", "ids"])
 
-    dealt.mapInArrow(run, "part int, doc_id long, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
+    dealt.mapInArrow(run, "part int, doc_id long, n_tokens int, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
     return path
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The rows as written; a filter on ``doc_id`` is pushed down to the row indexes and Bloom filters."""
-    return spark.read.schema("part int, doc_id long, ids array<int>").orc(path)
+    return spark.read.schema("part int, doc_id long, n_tokens int, ids array<int>").orc(path)
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: (doc_id, start, n_tokens, ids_crc32).
 
-    ``start`` counts the ids of all documents before it in the files' order.
-    Ids leave the tasks as a length and a checksum; what the driver gathers is one
-    total for each file part.
+    ``start`` counts the ids of all documents before it in the files' order.  A
+    task counts from the start of each file split that it reads, in the order
+    of the split's rows; the driver gathers one total for each split and gives each
+    its own start.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids = batch.column("ids")
             off = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(flat[a:z].tobytes()) for a, z in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(crc, pa.int64())], names=["part", "doc_id", "n_tokens", "ids_crc32"])
-
-    rows = read_tokens(spark, path).mapInArrow(run, "part int, doc_id long, n_tokens long, ids_crc32 long")
-    # a sum for each part from the parts' lengths alone; the parts are as many as the writer's tasks
-    sums = read_tokens(spark, path).groupBy("part").agg(F.sum(F.size("ids")).alias("total")).orderBy("part").collect()
-    before, total = [], 0
-    for r in sums:
-        before.append((r.part, total))
-        total += r.total
-    if not before:
-        return rows.select("doc_id", F.lit(0).cast("long").alias("start"), "n_tokens", "ids_crc32")
-    offsets = spark.createDataFrame(before, "part int, before long")
-    order = Window.partitionBy("part").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.join(F.broadcast(offsets), "part")
-        .withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
-        .select("doc_id", "start", "n_tokens", "ids_crc32")
-    )
+            flat = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
+            crc = [zlib.crc32(flat[a:z]) for a, z in zip(off[:-1], off[1:], strict=True)]
+            part, block = (batch.column(c).to_numpy() for c in ("part", "block"))
+            cuts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (block[1:] != block[:-1]))))
+            at = np.empty(batch.num_rows, np.int64)
+            for lo, hi in zip(cuts, np.append(cuts[1:], batch.num_rows), strict=True):
+                key = (int(part[lo]), int(block[lo]))
+                base = seen.get(key, 0)
+                at[lo:hi] = base + off[lo:hi].astype(np.int64) - int(off[lo])
+                seen[key] = base + int(off[hi]) - int(off[lo])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("block"), batch.column("doc_id"), pa.array(at), pa.array(np.diff(off), pa.int64()), pa.array(crc, pa.int64())], names=["part", "block", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+    rows = read_tokens(spark, path).select("part", "doc_id", "ids", F.col("_metadata.file_block_start").alias("block"))
+    rows = cut(rows.mapInArrow(run, "part int, block long, doc_id long, at long, n_tokens long, ids_crc32 long"), "index")
+    total, starts = 0, []
+    for r in rows.groupBy("part", "block").agg(F.sum("n_tokens").alias("n")).orderBy("part", "block").collect():
+        starts.append((r.part, r.block, total))
+        total += r.n
+    offsets = spark.createDataFrame(starts, "part int, block long, before long")
+    return rows.join(F.broadcast(offsets), ["part", "block"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokens_to_orc(docs: DataFrame, tokenizer_path: str, path: str | None = None, **columns: str) -> DataFrame:
