@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+OWN_DIR = "stridelake.shared.dir"
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
@@ -14,15 +16,19 @@ def shared_root(spark: SparkSession) -> str:
     Where the setting is absent (a local session, as in tests) a folder of this
     machine is taken instead, once a session.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("stridelake.shared.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(OWN_DIR, None)
     if not root:
         root = tempfile.mkdtemp(prefix="stridelake-")
-        spark.conf.set("stridelake.shared.dir", root)
+        spark.conf.set(OWN_DIR, root)
     return root.rstrip("/")
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/stridelake-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/stridelake/{uuid.uuid4().hex}/{name}"
+    return f"{_session_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +40,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that :func:`cut` wrote, once nothing that is still to run reads it."""
+    _delete(df.sparkSession, df._cut_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables of this application; its results must have been written by then."""
+    _delete(spark, _session_folder(spark))
 
 
 def width(spark: SparkSession) -> int:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.llm import _text as X
-from stridelake.llm._store import cut, width
+from stridelake.llm._store import cut, drop, width
 
 COORDS = 64
 TREES = 8
@@ -219,15 +219,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFram
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(c, comp): the smallest node reachable from each node, by label propagation with pointer jumping."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    state = nodes.select("c", F.col("c").alias("comp"))
+    state, last = nodes.select("c", F.col("c").alias("comp")), None
     while True:
         heard = both.join(state.toDF("b", "comp"), "b").groupBy(F.col("a").alias("c")).agg(F.min("comp").alias("near"))
         told = cut(state.join(heard, "c", "left").select("c", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp")), "told")
-        state = told.join(told.select(F.col("c").alias("comp"), F.col("comp").alias("next")), "comp").select("c", "old", F.col("next").alias("comp"))
-        state = cut(state, "state")
-        if state.filter("old <> comp").isEmpty():
-            return state.select("c", "comp")
-        state = state.select("c", "comp")
+        jumped = told.join(told.select(F.col("c").alias("comp"), F.col("comp").alias("next")), "comp").select("c", "old", F.col("next").alias("comp"))
+        table = cut(jumped, "state")
+        drop(told)
+        if last is not None:
+            drop(last)
+        state, last = table.select("c", "comp"), table
+        if table.filter("old <> comp").isEmpty():
+            return state
 
 
 def _residual(nodes: DataFrame, state: DataFrame, classes: DataFrame, least: int) -> DataFrame:
