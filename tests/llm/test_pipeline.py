@@ -59,5 +59,15 @@ def test_every_document_left_is_encoded(stages):
     assert sorted(ids(stages[4][1])) == sorted(ids(stages[3][1]))
 
 
+def test_odd_documents_pass_every_stage(spark, make, odd):
+    docs = make(odd + [(3, "one")], None, None)
+    for _, f in C.STAGES[:-1]:
+        got = f(spark, docs, D)
+        assert got.columns == docs.columns
+        assert f(spark, docs.filter("doc_id > 99"), D).collect() == []
+        docs = got
+    assert {r.doc_id for r in C.token_output(spark, docs, D).collect()} == set(ids(docs))
+
+
 def test_run_equals_the_stages(spark, stages):
     assert sorted(map(tuple, C.run(spark, D).collect())) == sorted(map(tuple, stages[4][1].collect()))

@@ -73,3 +73,17 @@ def test_files_are_sorted_indexed_and_pruned(spark, make, small):
     f = orc.ORCFile(files[0])
     assert f.row_index_stride == 1000 and f.compression == "SNAPPY"
     assert b"doc_id" in files[0].read_bytes()[-4000:]
+
+
+def test_starts_over_many_splits(spark, lib, make, small, monkeypatch):
+    """Files of several stripes, read as several splits in one task."""
+    monkeypatch.setattr(T, "ORC_OPTIONS", T.ORC_OPTIONS | {"orc.stripe.size": "4096", "orc.compress": "NONE", "orc.stripe.row.count": "1024"})
+    rows = [(d + 1000 * i, t) for i in range(4) for d, t in small]
+    path = T.write_tokens(make(rows), PATH, new_path(spark, "t"), partitions=2)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        splits = T.read_tokens(spark, path).selectExpr("part", "_metadata.file_block_start b").distinct().count()
+        check(lib, rows, T.token_index(spark, path).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert splits > 2
