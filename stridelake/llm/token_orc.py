@@ -92,16 +92,20 @@ class WordCache:
 
     def _word(self, w: str) -> bytes:
         """The ids of a word that isn't kept; it is, from the second time on."""
-        if w.isalpha():
+        if w.isalpha() or (w.isascii() and w.isdigit()):  # letters or digits alone are one piece
             piece = self.space + (w if w.isascii() else self._spell(w))
             got = array("I", [t.id for t in self.tokenize(piece)]).tobytes()
-        elif w[-1:] in (".", ",") and w[-2:-1].isalnum():  # such a mark is a piece of its own
-            stem, mark = w[:-1], "\n" + w[-1]
-            got = (self.known.get(stem) or self._word(stem)) + (self.known.get(mark) or self._word(mark))[4:]
         elif w[:1] == "\n" and w[1:].isalpha():
             got = _NEWLINE + array("I", [t.id for t in self.tokenize(self._spell(w[1:]))]).tobytes()
         else:
-            got = self._whole(w if w[:1] == "\n" else " " + w)
+            end = len(w)
+            while end and not w[end - 1].isalnum():
+                end -= 1
+            if 0 < end < len(w):  # what follows the last letter or digit is a piece of its own
+                stem, tail = w[:end], "\n" + w[end:]
+                got = (self.known.get(stem) or self._word(stem)) + (self.known.get(tail) or self._word(tail))[4:]
+            else:
+                got = self._whole(w if w[:1] == "\n" else " " + w)
         if len(w) < 3 or self._again(w):
             if len(self.known) >= self.size:
                 self.known.clear()
