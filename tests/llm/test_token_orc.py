@@ -27,6 +27,8 @@ def test_word_cache_equals_the_library(lib, small):
     rnd = random.Random(5)
     parts = ["a", "é", " ", "\n", "'s", "1", "!", ".", ",", "日", "½", "foo", "x", "\t", " ", "<|endoftext|>", "  "]
     texts = ["".join(rnd.choice(parts[: 13 + 4 * (k % 5 == 0)]) for _ in range(30)) for k in range(1500)]
+    tails = ["", ".", "!!", "***", "'", "'s", "...'", "²", "%%%", "_", ")", "\u0301", "-x", "'ll", "#1"]
+    texts += [" ".join(rnd.choice(["foo", "BAR", "été", "日本", "7", "2024", "x1", "(a", "'", "½"]) + rnd.choice(tails) for _ in range(12)) for _ in range(1500)]
     texts += [" ".join(t.split()) for t in texts] + [t for _, t in small[:150]]
     cache = T.WordCache(PATH, 300)
     for t in texts * 2:
