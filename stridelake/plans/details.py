@@ -90,7 +90,7 @@ def flt17_finite_values(spark: SparkSession, sf: str) -> DataFrame:
 def exp3_segment_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Episodes attached to each of their segments of twenty steps."""
     e = steps(spark, sf).groupBy("variant", "episode_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("reward"), 4).alias("ret"))
-    seg = e.select("variant", "episode_idx", F.explode(F.sequence(F.lit(0), F.least(F.lit(2), F.floor((F.col("n") - 1) / 20).cast("int")))).alias("part"))
+    seg = e.select("variant", "episode_idx", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 20).cast("int"))).alias("part"))
     return seg.join(e, ["variant", "episode_idx"])
 
 
