@@ -7,8 +7,11 @@ group; no operator ranks all rows in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,7 +179,44 @@ def bootstrap_means(pairs: DataFrame, seeds: Sequence[int], variants: Sequence[s
     return s.join(F.broadcast(pairs), ["seed", "variant", "pos"]).groupBy("replicate").agg(F.avg("diff").alias("mean"))
 
 
-def interval(replicates: DataFrame, value: str = "mean") -> DataFrame:
+def bootstrap_groups(pairs: DataFrame, by: str, replicates: int, seed: int) -> DataFrame:
+    """(by, replicate, mean): replicates of a paired difference over all episodes of each group.
+
+    ``pairs``: by, seed, variant, diff; a null difference is no episode.  A replicate draws as many seeds as the group has,
+    and as many variants, which all its seeds share; from each cell drawn it takes as many episodes as that cell has,
+    with replacement, and its mean is over all of them.  A cell without episodes gives none, and a replicate
+    without any is drawn again.  How often each value of a cell is drawn is one multinomial number, so a cell is
+    held as the counts of its distinct values (three, for flags): one row for each group is broadcast.
+    """
+    cell = pairs.filter("diff is not null").groupBy(by, "seed", "variant", F.col("diff").cast("double").alias("diff")).agg(F.count(F.lit(1)).alias("n"))
+    whole = cell.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seed", "variant", "diff", "n"))).alias("cells"))
+    size = 100
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                values: dict = {}
+                for c in row["cells"]:
+                    values.setdefault((c["seed"], c["variant"]), []).append((c["diff"], c["n"]))
+                cells = {k: (n := sum(x for _, x in v), np.array([x for _, x in v]) / n, np.array([d for d, _ in v])) for k, v in values.items()}
+                seeds, variants = (list(dict.fromkeys(k[i] for k in cells)) for i in range(2))
+                variants.sort()
+                at, means = range(row["block"] * size, min(row["block"] * size + size, replicates)), []
+                for r in at:
+                    rng = np.random.Generator(np.random.Philox(key=int(hashlib.sha256(f"{seed}:{row[by]}:{r}".encode()).hexdigest()[:32], 16)))
+                    drawn: list = []
+                    while not drawn:
+                        s, v = rng.integers(len(seeds), size=len(seeds)), rng.integers(len(variants), size=len(variants))
+                        drawn = [c for i in s for j in v if (c := cells.get((seeds[i], variants[j])))]
+                    means.append(sum(float(rng.multinomial(n, p) @ d) for n, p, d in drawn) / sum(n for n, _, _ in drawn))
+                yield pa.RecordBatch.from_arrays([pa.array([row[by]] * len(at), batch.schema.field(by).type), pa.array(at, pa.int64()), pa.array(means, pa.float64())], [by, "replicate", "mean"])
+
+    blocks = pairs.sparkSession.range(-(-replicates // size)).select(F.col("id").alias("block"))
+    kind = pairs.schema[by].dataType.simpleString()
+    return blocks.crossJoin(F.broadcast(whole)).mapInArrow(draw, f"`{by}` {kind}, replicate long, mean double")
+
+
+def interval(replicates: DataFrame, value: str = "mean", by: Sequence[str] = ()) -> DataFrame:
     """2.5 and 97.5 per cent quantiles with linear interpolation, over a fixed number of replicates."""
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    return replicates.agg(F.avg(value).alias("mean"), q.alias("q"), F.count(F.lit(1)).alias("replicates")).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "replicates")
+    return replicates.groupBy(*by).agg(F.avg(value).alias("mean"), q.alias("q"), F.count(F.lit(1)).alias("replicates")).select(*by, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "replicates")

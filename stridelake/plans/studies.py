@@ -195,17 +195,10 @@ def cq1_training_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def sm19_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Interval of a paired difference from 1000 hierarchical replicates; seeds, variants and episodes are bounded."""
-    r = episode_results(spark, sf).filter("family = 'ASIA'")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("seed", "variant").orderBy("episode_idx")
-    p = r.withColumn("pos", F.row_number().over(w) - 1).filter("pos < 10")
-    p = p.select(F.col("seed").cast("int").alias("seed"), "variant", "pos", (F.col("success").cast("double") - 0.5).alias("diff"))
-    names = sorted(x.variant for x in p.select("variant").distinct().collect())
-    reps = S.bootstrap_means(p, [0, 1, 2], names, 10, 1000, 99)
-    i = S.interval(reps)
-    return i.select(*(F.round(c, 6).alias(c) for c in ("mean", "low", "high")), "replicates")
+    """Interval of each family's paired difference from 10,000 hierarchical replicates over all of its episodes."""
+    p = episode_results(spark, sf).select("family", "seed", "variant", (F.col("success").cast("double") - 0.5).alias("diff"))
+    i = S.interval(S.bootstrap_groups(p, "family", 10_000, 99), by=["family"])
+    return i.select("family", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")), "replicates")
 
 
 @query("""SELECT label AS variant, CAST(count(*) AS BIGINT) AS n, round(avg(l), 6) AS l1 FROM (SELECT CAST(label AS BIGINT) AS label, abs((-1 + (list_position(embedding[1:16], list_max(embedding[1:16])) - 1) / 15.0::DOUBLE * 2) - (-1 + (vec_id % 16) / 15.0::DOUBLE * 2)) AS l FROM embeddings) GROUP BY label""")

@@ -2,7 +2,12 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from stridelake.operators import sampling as S
 from stridelake.plans.catalog import QUERIES
+from stridelake.sources.tables import episode_results
 
 
 def events(spark, folder, rows):
@@ -18,3 +23,33 @@ def test_every_segment_of_a_long_episode(spark, tmp_path):
     d = events(spark, tmp_path, [(u, "view") for u, n in sizes.items() for _ in range(n)])
     got = sorted((r.episode_idx, r.part, r.n) for r in QUERIES["exp3_segment_payloads"](spark, d).collect())
     assert got == [(u, k, n) for u, n in sizes.items() for k in range(-(-n // 20))]
+
+
+def test_bootstrap_draws_from_every_episode_of_every_group(spark):
+    """Against a twin that draws episodes one by one, with a cell missing and cells of unequal sizes."""
+    rng = np.random.default_rng(5)
+    cells = {(s, v): rng.integers(0, 2, 5 + 40 * s + (25 if v == "b" else 0)) - 0.5 for s in range(3) for v in "abc" if (s, v) != (2, "c")}
+    cells[1, "a"][10:] = 0.5  # episodes behind the tenth differ from those before
+    rows = [("g", s, v, float(d)) for (s, v), x in cells.items() for d in x] + [("h", 0, "a", 1.0)] * 3 + [("h", 0, "a", None)]
+    df = spark.createDataFrame(rows, "family string, seed long, variant string, diff double")
+    reps = S.bootstrap_groups(df, "family", 10_000, 7)
+    got = {r.family: r for r in S.interval(reps, by=["family"]).collect()}
+    assert {k: r.replicates for k, r in got.items()} == {"g": 10_000, "h": 10_000}
+    assert (got["h"].mean, got["h"].low, got["h"].high) == (1.0, 1.0, 1.0)
+    twin = []
+    while len(twin) < 10_000:
+        s, v = rng.integers(3, size=3), rng.choice(list("abc"), 3)
+        if drawn := [rng.choice(x, len(x)) for i in s for j in v if (x := cells.get((i, j))) is not None]:
+            twin.append(np.concatenate(drawn).mean())
+    low, high = np.quantile(twin, [0.025, 0.975])
+    assert abs(got["g"].mean - np.mean(twin)) < 0.01 and abs(got["g"].low - low) < 0.02 and abs(got["g"].high - high) < 0.02
+    again = S.bootstrap_groups(df.repartition(5), "family", 10_000, 7)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, reps.collect()))
+
+
+def test_bootstrap_covers_all_families(spark):
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["sm19_bootstrap"](spark, d).collect()
+    whole = {r.family: r.m for r in episode_results(spark, d).groupBy("family").agg(F.avg(F.col("success").cast("double") - 0.5).alias("m")).collect()}
+    assert sorted(r.family for r in got) == sorted(whole) and len(whole) == 5
+    assert all(r.replicates == 10_000 and r.low < whole[r.family] < r.high and abs(r.mean - whole[r.family]) < 0.01 for r in got)
