@@ -151,8 +151,8 @@ def cq13_generation_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {RESULTS_SQL} SELECT family AS run, variant, episode_idx, success FROM results WHERE episode_idx % 3 = 0""")
 def exp4_tree_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    """A nested rollout record (variants to episodes) taken apart again."""
-    r = episode_results(spark, sf).filter("episode_idx % 3 = 0").withColumn("block", F.col("episode_idx") % 64)
+    """Nested rollout records (variants to episodes) of up to 1,024 neighbouring episodes, taken apart again."""
+    r = episode_results(spark, sf).withColumn("block", F.floor(F.col("episode_idx") / 1024))
     v = r.groupBy("family", "block", "variant").agg(F.struct(F.collect_list(F.struct("episode_idx", "success")).alias("episodes")).alias("v"))
     tree = v.groupBy(F.col("family").alias("run"), "block").agg(F.map_from_entries(F.collect_list(F.struct("variant", "v"))).alias("variants"))
     return T.flatten_tree(tree)

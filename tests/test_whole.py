@@ -53,3 +53,15 @@ def test_bootstrap_covers_all_families(spark):
     whole = {r.family: r.m for r in episode_results(spark, d).groupBy("family").agg(F.avg(F.col("success").cast("double") - 0.5).alias("m")).collect()}
     assert sorted(r.family for r in got) == sorted(whole) and len(whole) == 5
     assert all(r.replicates == 10_000 and r.low < whole[r.family] < r.high and abs(r.mean - whole[r.family]) < 0.01 for r in got)
+
+
+def test_every_episode_of_a_tree_and_of_the_scores(spark):
+    d = "/root/testdata/sf0.01"
+    r = episode_results(spark, d)
+    want = sorted((x.family, x.variant, x.episode_idx, x.success) for x in r.collect())
+    assert len(want) == 15_000
+    tree = QUERIES["exp4_tree_episodes"](spark, d)
+    assert sorted((x.run, x.variant, x.episode_idx, x.success) for x in tree.collect()) == want
+    scores = QUERIES["flt15_score_fields"](spark, d)
+    assert sorted(scores.columns) == ["episode_idx", "ret", "variant"]
+    assert sorted((x.episode_idx, x.variant, x.ret) for x in scores.collect()) == sorted((x.episode_idx, x.variant, x.ret) for x in r.collect())
