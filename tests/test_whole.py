@@ -65,3 +65,10 @@ def test_every_episode_of_a_tree_and_of_the_scores(spark):
     scores = QUERIES["flt15_score_fields"](spark, d)
     assert sorted(scores.columns) == ["episode_idx", "ret", "variant"]
     assert sorted((x.episode_idx, x.variant, x.ret) for x in scores.collect()) == sorted((x.episode_idx, x.variant, x.ret) for x in r.collect())
+
+
+def test_kinds_and_prompts_of_every_event(spark, tmp_path):
+    d = events(spark, tmp_path, [(u, kind) for kind in ("view", "click", "view", "error") for u in (1, 2, 3, 5)])
+    assert sorted(map(tuple, QUERIES["st7_ordered_dedupe"](spark, d).select("user_id", "kinds").collect())) == [(u, "view,click,error") for u in (1, 2, 3, 5)]
+    got = sorted((r.variant, r.episode_idx, r.t, r.template, r["sample"]) for r in QUERIES["exp1_step_templates"](spark, d).collect())
+    assert got == sorted((u % 5, u, t, name, 3 * t + i) for u in (1, 2, 3, 5) for t in range(4) for i, name in enumerate(("plain", "map", "sensing")))
