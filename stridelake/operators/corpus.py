@@ -5,10 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from itertools import accumulate
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: A shard is ranked in ranges of about so many rows, in so many ranges at most.
+RANGE_ROWS = 10_000
+RANGES = 256
 
 #: Schema of one line of a corpus index.
 INDEX_SCHEMA = "episode_index long, episode_group string, map_seed long, trajectory_index long, map_hash string, map_rows int, map_cols int, step_count long"
@@ -65,16 +71,36 @@ def content_hash(rows: DataFrame, group: str, key: str, line: Column, bucket: in
     return small.groupBy(group).agg(F.sha2(ordered(F.struct("_b", F.col("h").alias("line"))), 256).alias("content_hash"))
 
 
+def _ranges(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows with the number of their range of ``order`` in ``_range``; a sample places the bounds, which are fixed values from there on."""
+    n = rows.count()
+    parts, key = min(RANGES, n // RANGE_ROWS + 1), F.struct(*order)
+    if parts == 1:
+        return rows.withColumn("_range", F.lit(0))
+    sample = rows.select(key.alias("k"), F.pmod(F.xxhash64(*order), F.lit(max(1, n // (parts * 64)))).alias("h")).filter("h = 0").select("k").distinct().sort("k")
+    got = [r.k for r in sample.collect()]
+    bounds = [got[len(got) * i // parts] for i in range(1, parts)] if got else []
+    fixed = rows.sparkSession.createDataFrame([(list(dict.fromkeys(bounds)),)], T.StructType([T.StructField("_bounds", T.ArrayType(sample.schema["k"].dataType))]))
+    jumps = F.array(*(F.lit(1 << i) for i in reversed(range(RANGES.bit_length()))))
+    place = F.aggregate(jumps, F.lit(0), lambda at, by: F.when(F.get("_bounds", at + by - 1) <= key, at + by).otherwise(at))
+    return rows.crossJoin(F.broadcast(fixed)).withColumn("_range", place).drop("_bounds")
+
+
 def append_rows(existing: DataFrame, new: DataFrame, keys: Sequence[str], index_col: str, order: Sequence[str]) -> DataFrame:
     """New rows with indexes that go on after the existing ones; keys that exist already are an error.
 
-    What is appended is one shard, small enough to be ranked in one task; the corpus is only joined.
+    The shard is cut in ranges of ``order``; their rows are counted first and then ranked by range, so no task holds
+    the shard.  Rows equal in ``order`` share a range.  The shard is read several times and has to stay the same.
     """
     clash = new.join(existing.select(*keys), list(keys), "left_semi").limit(1).count() + duplicate_keys(new, keys).limit(1).count()
     if clash:
         raise ValueError("keys exist already or repeat")
     start = existing.agg(F.max(index_col)).first()[0]
-    return new.withColumn(index_col, F.row_number().over(Window.orderBy(*order)).cast("long") + (-1 if start is None else int(start)))
+    ranged = _ranges(new, order)
+    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+    before = accumulate((counts.get(i, 0) for i in range(max(counts, default=0))), initial=-1 if start is None else int(start))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long")
+    return ranged.withColumn(index_col, rank + F.get(F.array(*(F.lit(x).cast("long") for x in before)), F.col("_range"))).drop("_range")
 
 
 def validate_corpus(index: DataFrame, data: DataFrame, per_seed: int) -> DataFrame:

@@ -3,11 +3,13 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from stridelake.operators import corpus as C
 from stridelake.operators import sampling as S
 from stridelake.plans.catalog import QUERIES
-from stridelake.sources.tables import episode_results
+from stridelake.sources.tables import episode_results, table
 
 
 def events(spark, folder, rows):
@@ -72,3 +74,25 @@ def test_kinds_and_prompts_of_every_event(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["st7_ordered_dedupe"](spark, d).select("user_id", "kinds").collect())) == [(u, "view,click,error") for u in (1, 2, 3, 5)]
     got = sorted((r.variant, r.episode_idx, r.t, r.template, r["sample"]) for r in QUERIES["exp1_step_templates"](spark, d).collect())
     assert got == sorted((u % 5, u, t, name, 3 * t + i) for u in (1, 2, 3, 5) for t in range(4) for i, name in enumerate(("plain", "map", "sensing")))
+
+
+def test_a_whole_table_is_appended_and_ranked_by_range(spark):
+    d = "/root/testdata/sf0.01"
+    start = table(spark, d, "customer").agg(F.max("c_custkey")).first()[0]
+    got = QUERIES["snk2_guarded_append"](spark, d)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    keys = sorted(r.o_orderkey for r in table(spark, d, "orders").select("o_orderkey").collect())
+    assert sorted((r.episode_index, r.o_orderkey) for r in got.collect()) == [(start + 1 + i, k) for i, k in enumerate(keys)]
+
+
+@pytest.mark.parametrize("rows,ranges", [(1, 256), (7, 256), (40, 8), (10**6, 256)])
+def test_ranges_keep_the_order(spark, monkeypatch, rows, ranges):
+    monkeypatch.setattr(C, "RANGE_ROWS", rows)
+    monkeypatch.setattr(C, "RANGES", ranges)
+    data = [(i, None if i % 9 == 0 else f"s{i * 37 % 11}", float(i * 53 % 101)) for i in range(300)]
+    new = spark.createDataFrame(data, "k long, a string, b double").repartition(5)
+    old = spark.createDataFrame([], "i long, k long")
+    got = C.append_rows(old, new, ["k"], "i", ["a", "b", "k"]).collect()
+    want = sorted(data, key=lambda r: (r[1] is not None, r[1] or "", r[2], r[0]))
+    assert [r.k for r in sorted(got, key=lambda r: r.i)] == [k for k, _, _ in want] and sorted(r.i for r in got) == list(range(300))
+    assert C.append_rows(old, new.filter("k < 0"), ["k"], "i", ["k"]).collect() == []
