@@ -6,7 +6,8 @@ a whole document (tokens with a digit or an ``@``; all others are clamped to
 shares a skip potential with the next token, however distant, that repeats it
 and with the next one of the same shape, so evidence for one occurrence reaches
 the others.  Marginals come from damped loopy message passing, run over all
-documents of an Arrow batch at once.  Confident spans that touch no base span
+documents of an Arrow batch at once, each until its messages stand still, so evidence
+crosses a whole document and no document depends on the others of its batch.  Confident spans that touch no base span
 are added.  Edges grow with the number of suspect tokens, never with its square.
 
 The weights are fitted by likelihood gradients, with the same message passing,
@@ -36,8 +37,10 @@ _DIGIT = re.compile(r"[0-9]")
 LABELS = 1 + len(KINDS)
 SAMPLE_DOCS = 600
 LONGEST_SAMPLE = 20_000  # bytes of a sampled text
-ROUNDS = 6
+ROUNDS = 60  # and two for each suspect token: in so many rounds the largest change halves, or the step does
 DAMPING = 0.3
+TOLERANCE = 1e-7  # largest change of a log message that stands still
+LEAST_STEP = 1e-3  # messages that circle even at this step are taken as they are
 CONFIDENCE = 0.9
 _SUSPECT = re.compile(r"[^\s]*[0-9@][^\s]*")
 _LOCAL_SET = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -123,6 +126,11 @@ def _features(token: str) -> list[int]:
 FEATURES = 33
 
 
+def _key(kind: str, text: str) -> str:
+    """The text itself, or its digest if that is shorter."""
+    return kind + (text if len(text) <= 64 else "#" + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+
+
 def _shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in token))
 
@@ -140,14 +148,14 @@ class Graph:
         last: dict[str, int] = {}
         prev = prev_end = -1
         for s, e in suspects(text):
-            i, token = len(self.spans), text[s:e][:256]
+            i, token = len(self.spans), text[s:e]
             self.spans.append((doc, s, e))
             on = _features(token)
             self.rows += [i] * len(on)
             self.cols += on
             if prev >= 0 and s - prev_end <= 2:
                 self.edges[0].append((prev, i))
-            for key in ("=" + token.strip(".,;:!?#$%&*()|").lower(), "~" + _shape(token)):
+            for key in (_key("=", token.strip(".,;:!?#$%&*()|").lower()), _key("~", _shape(token))):
                 if (j := last.get(key, -1)) >= 0:
                     self.edges[1].append((j, i))
                 last[key] = i
@@ -163,6 +171,13 @@ def _norm(m: np.ndarray) -> np.ndarray:
     return m - np.log(np.exp(m).sum(axis=1, keepdims=True))
 
 
+def _send(m: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Log messages over edges of potential ``t``; row by row the same whatever the other rows are."""
+    e, t = np.exp(m - m.max(axis=1, keepdims=True)), np.exp(t - t.max())
+    s = sum(e[:, k : k + 1] * t[k] for k in range(LABELS))
+    return np.log(s / sum(s[:, k : k + 1] for k in range(LABELS)))
+
+
 def marginals(weights: dict[str, np.ndarray], graph: Graph):
     """Loopy message passing: marginals of the nodes, and of the edges by kind."""
     (r, c), edges = graph.arrays()
@@ -171,18 +186,30 @@ def marginals(weights: dict[str, np.ndarray], graph: Graph):
     np.add.at(unary, r, weights["node"][c])
     sides = [(e[:, 0], e[:, 1], t) for e, t in zip(edges, (weights["chain"], weights["skip"]), strict=True)]
     fwd, back = ([np.zeros((len(a), LABELS)) for a, _, _ in sides] for _ in range(2))
-    belief = unary.copy()
-    for _ in range(ROUNDS):
-        belief = unary.copy()
-        for (a, b, _), f, g in zip(sides, fwd, back, strict=True):
-            np.add.at(belief, b, f)
-            np.add.at(belief, a, g)
-        for k, (a, b, t) in enumerate(sides):
-            if len(a):
-                out = _norm(np.logaddexp.reduce((belief[a] - back[k])[:, :, None] + t[None], axis=1))
-                rev = _norm(np.logaddexp.reduce((belief[b] - fwd[k])[:, :, None] + t.T[None], axis=1))
-                fwd[k] = DAMPING * fwd[k] + (1 - DAMPING) * out
-                back[k] = DAMPING * back[k] + (1 - DAMPING) * rev
+    doc = np.unique([d for d, _, _ in graph.spans], return_inverse=True)[1]
+    size = np.bincount(doc)
+    step, mark, due = np.full(len(size), 1 - DAMPING), np.full(len(size), np.inf), ROUNDS + 2 * size
+    live = [np.arange(len(a)) for a, _, _ in sides]
+    at = 0
+    while any(map(len, live)):
+        belief, change = unary.copy(), np.zeros(len(size))
+        for (a, b, _), f, g, x in zip(sides, fwd, back, live, strict=True):
+            np.add.at(belief, b[x], f[x])
+            np.add.at(belief, a[x], g[x])
+        for (a, b, t), f, g, x in zip(sides, fwd, back, live, strict=True):
+            if len(x):
+                out = _send(belief[a[x]] - g[x], t) - f[x]
+                rev = _send(belief[b[x]] - f[x], t.T) - g[x]
+                np.maximum.at(change, doc[a[x]], np.maximum(np.abs(out).max(axis=1), np.abs(rev).max(axis=1)))
+                by = step[doc[a[x]]][:, None]
+                f[x] += by * out
+                g[x] += by * rev
+        at += 1
+        ends = due == at
+        step[ends & (change > mark / 2)] /= 2
+        mark[ends], due[ends] = change[ends], at + ROUNDS + 2 * size[ends]
+        moving = (change > TOLERANCE) & (step >= LEAST_STEP)
+        live = [x[moving[doc[a[x]]]] for (a, _, _), x in zip(sides, live, strict=True)]
     belief = unary.copy()
     for (a, b, _), f, g in zip(sides, fwd, back, strict=True):
         np.add.at(belief, b, f)

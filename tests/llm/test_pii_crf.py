@@ -111,3 +111,53 @@ def test_rows(spark, make, odd, small):
 def test_nothing_to_learn_from(make):
     got = P.detect(make([(1, "plain words"), (2, None)])).collect()
     assert [(r.spans, r.n_email) for r in got] == [("", 0)] * 2
+
+
+def test_production_settings_reach_every_occurrence():
+    rng = np.random.default_rng(0)
+    w = {"node": rng.normal(0, 0.5, (P.FEATURES, P.LABELS)), "chain": rng.normal(0, 0.5, (P.LABELS,) * 2), "skip": rng.normal(0, 0.3, (P.LABELS,) * 2)}
+    for text, far in (("11 a2a", 1e-6), ("11 words in between a2a@x and 7.7.7.7", 1e-6), ("11 22 words 11 33", 0.05)):
+        g = P.Graph()
+        g.add(0, text)
+        assert np.abs(P.marginals(w, g)[0] - exact(w, g)).max() < far
+    w = {"node": np.zeros((P.FEATURES, P.LABELS)), "chain": np.zeros((P.LABELS,) * 2), "skip": 3.0 * np.eye(P.LABELS)}
+    w["node"][32, 1] = 3.0  # the feature is set by hand for the first occurrence only
+
+    def last(n, sure):
+        g = P.Graph()
+        g.add(0, "q7 word word " * n)
+        if sure:
+            g.rows, g.cols = [*g.rows, 0], [*g.cols, 32]
+        return P.marginals(w, g)[0][-1, 1]
+
+    assert abs(last(30, False) - 0.2) < 1e-6 and last(30, True) > 0.3
+
+
+def test_messages_that_circle_come_to_an_end():
+    w = {"node": np.zeros((P.FEATURES, P.LABELS)), "chain": np.zeros((P.LABELS,) * 2), "skip": -9.0 * np.eye(P.LABELS)}
+    w["node"][1:, 1] = 0.3
+    g = P.Graph()
+    g.add(0, "a1 b2 c3 a1 c3 b2 a1 " * 3)
+    p, _ = P.marginals(w, g)
+    assert np.isfinite(p).all() and np.allclose(p.sum(axis=1), 1)
+
+
+def test_a_document_does_not_depend_on_its_batch(small):
+    texts = [t for _, t in small if P.suspects(t)][:40]
+    w = P.fit(texts[:20], steps=20)
+    together, at = P.Graph(), 0
+    for d, t in enumerate(texts):
+        together.add(d, t)
+    p, _ = P.marginals(w, together)
+    for t in texts:
+        g = P.Graph()
+        g.add(0, t)
+        assert np.array_equal(P.marginals(w, g)[0], p[at : at + len(g.spans)])
+        at += len(g.spans)
+
+
+def test_long_tokens_are_judged_whole():
+    g = P.Graph()
+    g.add(0, "7" + "a" * 300 + " word " + "7" + "a" * 300 + "-9@")
+    assert not len(g.arrays()[1][1])
+    assert 25 in g.cols and 28 in g.cols
