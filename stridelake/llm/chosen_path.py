@@ -3,13 +3,16 @@
 1. A document becomes its set of word shingles, a digest of that set and
    ``COORDS`` minwise tokens.  Documents with the same set form one class; from
    here on a class stands for its documents.
-2. ``TREES`` independent trees branch the classes.  A node chooses coordinates from its own
+2. ``TREES`` trees branch the classes.  A node chooses coordinates from its own
    path (two at odd levels, one at even levels: 1.41 a level against the
    1 / 0.8 = 1.25 that keeps the chance of a pair at the threshold from
    dying out) and sends each class to the child named by its token there.
    Nodes of one class go; nodes of up to ``LEAF`` classes stop; larger ones branch again, to
    ``DEPTH`` levels.  A pair at the threshold shares a final node of a tree
-   with a chance of at least 0.8, so eight trees miss it with one of 3e-6.
+   with a chance of at least 0.8.  All trees choose from the same ``COORDS`` tokens, so
+   they aren't independent: over the number of tokens that agree, eight trees miss
+   a pair of similarity 0.80 with a chance of 1.0e-4 and one of 0.82 with 3.7e-5, where
+   nodes branch all levels.
 3. Each class is first held against three leaders of each of its nodes.  Pairs
    whose tokens agree often enough are confirmed on their full sets, and
    linked classes get a common component.
