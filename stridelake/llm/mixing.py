@@ -73,7 +73,8 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, f
     and with prefixes that reach it.  A null level is a node of its own, named by the empty
     string.  Repeated rows are counted, and taken or left, together; rows
     that tie in the order are told apart by id and text.  ``fp`` is a hash of
-    the text.  An empty table gives no rows.
+    the text.  An empty table gives no rows.  The leaves are divided on the
+    driver: more than ``MAX_LEAVES`` of them raise a ValueError.
     """
     names = list(levels)
     src = docs.select(

@@ -88,3 +88,11 @@ def test_odd_rows(make, odd):
     got = M.mix(make(odd + odd), levels(), {}, 1.0, 1).collect()
     assert len(got) == 2 * len(odd)
     assert M.mix(make(odd).filter("doc_id > 99"), levels(), {}, 1.0, 1).collect() == []
+
+
+def test_the_limit_of_leaves_is_an_error_and_is_named(make, spark, monkeypatch):
+    docs = table(make, spark, {("en", "s1"): 3, ("en", "s2"): 3, ("de", "s1"): 3})
+    assert "MAX_LEAVES" in M.mix.__doc__
+    monkeypatch.setattr(M, "MAX_LEAVES", 2)
+    with pytest.raises(ValueError, match="more than 2 leaves"):
+        M.mix(docs, levels(), {}, 1.0, 1)
