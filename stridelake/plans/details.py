@@ -65,7 +65,7 @@ def flt12_value_checks(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("vec_id", (F.size("embedding") == 64).alias("right_size"), F.forall("embedding", lambda v: F.abs(v) <= F.lit(1.0001).cast("double")).alias("in_range"))
 
 
-@query(f"""WITH {RESULTS_SQL} SELECT variant, episode_idx, ret FROM results WHERE episode_idx % 7 = 0""")
+@query(f"""WITH {RESULTS_SQL} SELECT variant, episode_idx, ret FROM results""")
 def flt15_score_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Score records without the fields of evaluations; the scan reads what is left only."""
     r = episode_results(spark, sf)
@@ -86,7 +86,7 @@ def flt17_finite_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {STEPS_SQL}, e AS (SELECT variant, episode_idx, count(*) AS n, round(sum(reward), 4) AS ret FROM steps GROUP BY ALL)
-    SELECT variant, episode_idx, CAST(k AS INTEGER) AS part, n, ret FROM e, range(3) r(k) WHERE n > k * 20""")
+    SELECT variant, episode_idx, CAST(unnest(range((n - 1) // 20 + 1)) AS INTEGER) AS part, n, ret FROM e""")
 def exp3_segment_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Episodes attached to each of their segments of twenty steps."""
     e = steps(spark, sf).groupBy("variant", "episode_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("reward"), 4).alias("ret"))
@@ -250,7 +250,7 @@ def gr15_map_report(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("map_id", F.concat_ws(" ", F.concat(F.lit("map-"), F.col("map_id").cast("string")), *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("rows", "cols", "free", "path_len", "deadends", "static_difficulty"))).alias("line"))
 
 
-@query("""SELECT row_number() OVER (ORDER BY o_orderkey) + (SELECT max(c_custkey) FROM customer) AS episode_index, o_orderkey FROM orders WHERE o_orderkey % 97 = 0""")
+@query("""SELECT row_number() OVER (ORDER BY o_orderkey) + (SELECT max(c_custkey) FROM customer) AS episode_index, o_orderkey FROM orders""")
 def snk2_guarded_append(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a shard appended behind existing indexes, after a check that their keys are new."""
     old = table(spark, sf, "customer").select(F.col("c_custkey").alias("episode_index"), (-F.col("c_custkey") - 1).alias("o_orderkey"))

@@ -124,7 +124,7 @@ def flt14_constant_slots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {STEPS_SQL}, tpl AS (SELECT * FROM (VALUES (0, 'plain'), (1, 'map'), (2, 'sensing')) v(ord, template))
-    SELECT variant, episode_idx, t, template, t * 3 + ord AS sample FROM steps, tpl WHERE variant = 0""")
+    SELECT variant, episode_idx, t, template, t * 3 + ord AS sample FROM steps, tpl""")
 def exp1_step_templates(spark: SparkSession, sf: str) -> DataFrame:
     tpl = spark.createDataFrame([(0, "plain"), (1, "map"), (2, "sensing")], "ord long, template string")
     out = E.explode_prompts(steps(spark, sf), tpl)
@@ -174,7 +174,7 @@ def st5_bag_union(spark: SparkSession, sf: str) -> DataFrame:
     return s.unionByName(table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"))).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH x AS (SELECT user_id, event_type, min(event_id) AS first_id FROM events WHERE event_id % 10 = 0 GROUP BY ALL)
+@query("""WITH x AS (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL)
     SELECT user_id, string_agg(event_type, ',' ORDER BY first_id) AS kinds FROM x GROUP BY user_id""")
 def st7_ordered_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")

@@ -57,13 +57,15 @@ def jn7_pair_space(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {STEPS_SQL}, e AS (SELECT variant, episode_idx, count(*) AS n FROM steps GROUP BY ALL),
     p AS (SELECT variant, episode_idx, sum(n) OVER w - n AS ps, sum(n) OVER w AS pe FROM e WINDOW w AS (PARTITION BY variant ORDER BY episode_idx)),
-    s AS (SELECT i AS shard, i * 300 AS ss, (i + 1) * 300 AS se FROM range(200) r(i))
+    i AS (SELECT unnest(range(CAST(ceil(max(pe) / 300.0) AS BIGINT))) AS shard FROM p),
+    s AS (SELECT shard, shard * 300 AS ss, (shard + 1) * 300 AS se FROM i)
     SELECT variant, episode_idx, shard, CAST(greatest(ps, ss) AS BIGINT) AS lo, CAST(least(pe, se) AS BIGINT) AS hi FROM p JOIN s ON ps < se AND ss < pe""")
 def jn8_interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
     e = steps(spark, sf).groupBy("variant", "episode_idx").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("variant").orderBy("episode_idx")
     p = e.withColumn("pe", F.sum("n").over(w)).withColumn("ps", F.col("pe") - F.col("n")).drop("n")
-    s = spark.range(200).select(F.col("id").alias("shard"), (F.col("id") * 300).alias("ss"), ((F.col("id") + 1) * 300).alias("se"))
+    last = F.greatest(F.lit(0), F.ceil(F.max("pe") / 300) - 1)  # as many shards as the longest variant fills
+    s = p.agg(F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("shard")).select("shard", (F.col("shard") * 300).alias("ss"), ((F.col("shard") + 1) * 300).alias("se"))
     return O.interval_overlap(p, s, 300).select("variant", "episode_idx", "shard", "lo", "hi")
 
 

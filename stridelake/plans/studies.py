@@ -149,7 +149,7 @@ def cq13_generation_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {RESULTS_SQL} SELECT family AS run, variant, episode_idx, success FROM results WHERE episode_idx % 3 = 0""")
+@query(f"""WITH {RESULTS_SQL} SELECT family AS run, variant, episode_idx, success FROM results""")
 def exp4_tree_episodes(spark: SparkSession, sf: str) -> DataFrame:
     """Nested rollout records (variants to episodes) of up to 1,024 neighbouring episodes, taken apart again."""
     r = episode_results(spark, sf).withColumn("block", F.floor(F.col("episode_idx") / 1024))
