@@ -13,11 +13,14 @@ OWN_DIR = "stridelake.shared.dir"
 def shared_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a local session, as in tests) a folder of this
-    machine is taken instead, once a session.
+    Where the setting is absent in a local session, as in tests, a folder of this
+    machine is taken instead, once a session.  On a cluster its absence is an error: other
+    machines couldn't read that folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(OWN_DIR, None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         root = tempfile.mkdtemp(prefix="stridelake-")
         spark.conf.set(OWN_DIR, root)
     return root.rstrip("/")
@@ -31,12 +34,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_session_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back.
+def cut(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in ``parts`` files at most, and return the table read back.
 
     A lost executor then costs the tasks that were running on it and nothing
     that lies before the cut.
     """
+    if parts:
+        df = df.coalesce(parts)
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)

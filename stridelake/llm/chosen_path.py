@@ -7,24 +7,28 @@
    path (two at odd levels, one at even levels: 1.41 a level against the
    1 / 0.8 = 1.25 that keeps the chance of a pair at the threshold from
    dying out) and sends each class to the child named by its token there.
-   Nodes of one class go; nodes of up to ``LEAF`` classes stop; larger ones branch again, to
-   ``DEPTH`` levels.  A pair at the threshold shares a final node of a tree
-   with a chance of at least 0.8.  All trees choose from the same ``COORDS`` tokens, so
-   they aren't independent: over the number of tokens that agree, eight trees miss
-   a pair of similarity 0.80 with a chance of 1.0e-4 and one of 0.82 with 3.7e-5, where
-   nodes branch all levels.
-3. Each class is first held against three leaders of each of its nodes.  Pairs
+3. Each class is first held against three leaders of each of its first nodes.  Pairs
    whose tokens agree often enough are confirmed on their full sets, and
    linked classes get a common component.
-4. Nodes are then compared exhaustively, but only between classes of different
-   components: links inside one change nothing.  A node too large for one
-   task is cut in blocks, and blocks are compared pair by pair: its largest
-   component against the rest, and the rest among themselves.
+4. A node whose classes are all of one component is done: further links would
+   change nothing.  Of the others, those of up to ``LEAF`` classes are compared
+   exhaustively, between components; larger ones branch again, until they are small
+   or done.  Only classes that agree in every token chosen on the way can stay together for
+   ``DEPTH`` levels; such a node is dealt in groups of half a leaf, and
+   every two groups are compared, so it costs time but no pair and no memory.
+
+A pair at the threshold shares nodes of a tree down to any depth with a chance of about
+0.8.  All trees choose from the same ``COORDS`` tokens, so they aren't independent: over the
+number of tokens that agree, eight trees miss a pair of similarity 0.80 with a chance of
+1.0e-4 and one of 0.82 with 3.7e-5 where four levels are needed, more at greater depth
+(README has the figures).
 
 No node is capped or sampled.  All pairs of a group are never emitted: agreement
-is tested where the rows meet.  Where few pairs of a block are promising the pairs
-leave the task, and are confirmed one by one; else the block's members do, and are
-confirmed together, so what moves grows with the rows.
+is tested where the rows meet.  Where few pairs of a node are promising the pairs
+leave the task, and are confirmed one by one; else the node's members do, and are
+confirmed together, so what moves grows with the rows.  A block that is confirmed
+together has at most ``BLOCK_SHINGLES`` shingles; longer ones are cut in groups, and every
+two groups make a block.
 """
 
 from __future__ import annotations
@@ -42,13 +46,13 @@ from stridelake.llm._store import cut, drop, width
 
 COORDS = 64
 TREES = 8
-DEPTH = 4
-LEAF = 256
-BLOCK = 512
-SPARE = 256
-DENSE = 2  # pairs for each row from which a block is confirmed as a whole
+DEPTH = 12
+LEAF = 128
+DENSE = 2  # pairs for each row from which a node is confirmed as a whole
+BLOCK_SHINGLES = 1 << 19
 COLUMNS = 4096
 BLOCK_BYTES = 2 << 20
+FILE_ROWS = 50_000  # of the tables of links
 #: Agreeing tokens of 64 below which a pair isn't confirmed; at a similarity of 0.8 fewer come with a chance of 3e-6.
 AGREE_AT_80 = 36
 
@@ -104,8 +108,8 @@ def _describe(k: int):
                 cls = [hashlib.blake2b(flat[8 * a : 8 * z], digest_size=16).digest() if z > a else None for a, z in zip(bound[:-1], bound[1:], strict=True)]
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("fp"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
-                    names=["id", "fp", "n", "c", "sig"],
+                    [part.column("id"), part.column("fp"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), part.column("text")],
+                    names=["id", "fp", "n", "c", "sig", "text"],
                 )
 
     return run
@@ -131,12 +135,20 @@ def _children(path: np.ndarray, sig: np.ndarray, level: int) -> tuple[np.ndarray
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def _tokens_of(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), "<u4").reshape(-1, COORDS)
+
+
 def _tokens(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), "<u4").reshape(-1, COORDS)
+    return _tokens_of(col.to_pylist())
+
 
+_NODE = "node long, c binary, comp binary"
 
-def _emit(c: pa.Array, rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), c.take(pa.array(rows))], names=["node", "c"])
+
+def _emit(batch: pa.RecordBatch, rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(rows)
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), batch.column("c").take(at), batch.column("comp").take(at)], names=["node", "c", "comp"])
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +157,7 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = _tokens(batch.column("sig"))
             for tree in range(TREES):
                 path = np.full(len(sig), X.mix(np.array([tree + 1], np.uint64))[0], np.uint64)
-                yield _emit(batch.column("c"), *_children(path, sig, 0))
+                yield _emit(batch, *_children(path, sig, 0))
 
 
 def _deeper(level: int):
@@ -153,26 +165,13 @@ def _deeper(level: int):
         for batch in batches:
             if batch.num_rows:
                 path = batch.column("node").to_numpy().astype(np.uint64)
-                yield _emit(batch.column("c"), *_children(path, _tokens(batch.column("sig")), level))
+                yield _emit(batch, *_children(path, _tokens(batch.column("sig")), level))
 
     return run
 
 
-_NODE = "node long, c binary"
-
-
-def _nodes(classes: DataFrame) -> DataFrame:
-    """Rows (node, c, size) of all final nodes with more than one class."""
-    rows, final = classes.select("c", "sig").mapInArrow(_roots, _NODE), []
-    for level in range(DEPTH):
-        sizes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), f"sizes{level}")
-        here = cut(rows.join(sizes, "node"), f"nodes{level}")
-        large = F.col("size") > LEAF
-        if level == DEPTH - 1 or sizes.filter(large).isEmpty():
-            return _union([*final, here])
-        final.append(here.filter(~large))
-        rows = cut(here.filter(large).join(classes.select("c", "sig"), "c").select("node", "c", "sig").mapInArrow(_deeper(level + 1), _NODE), f"rows{level}")
-    raise AssertionError
+def _first_nodes(classes: DataFrame) -> DataFrame:
+    return classes.select("c", "comp", "sig").mapInArrow(_roots, _NODE)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -186,6 +185,14 @@ def _low(sig: np.ndarray) -> np.ndarray:
     return (sig & 0xFF).astype(np.uint8)
 
 
+def _stars(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class and three leaders of each of its first nodes."""
+    nodes = _first_nodes(classes.withColumn("comp", F.lit(b""))).select("node", "c")
+    leaders = nodes.groupBy("node").agg(F.min("c").alias("l1"), F.max("c").alias("l2"), F.min_by("c", F.xxhash64("c")).alias("l3")).filter("l1 <> l2")
+    pairs = nodes.join(leaders, "node").select("c", F.explode(F.array("l1", "l2", "l3")).alias("l")).filter("c <> l")
+    return pairs.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b")).distinct()
+
+
 def _promising(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) whose tokens agree in ``least`` places."""
 
@@ -199,131 +206,177 @@ def _promising(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return pairs.join(sig, "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+def _similar(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * both >= pct * (len(x) + len(y) - both)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, pct: int, carry: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Columns ``carry`` of the pairs (a, b) whose full sets are similar enough."""
+    extra = [c for c in carry if c not in ("a", "b")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                (sa, ba), (sb, bb) = (shingle_sets(*X.buffers(part.column(x)), k) for x in ("ta", "tb"))
-                good = []
-                for i in range(part.num_rows):
-                    x, y = sa[ba[i] : ba[i + 1]], sb[bb[i] : bb[i + 1]]
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    good.append(100 * both >= pct * (len(x) + len(y) - both))
-                yield part.select(["a", "b"]).filter(pa.array(good))
+            if not batch.num_rows:
+                continue
+            (ra, oa), (rb, ob) = (X.buffers(batch.column(x)) for x in ("ta", "tb"))
+            good = np.zeros(batch.num_rows, bool)
+            for lo, hi in X.slices(oa + ob, BLOCK_BYTES):
+                sa, ba = shingle_sets(ra[oa[lo] : oa[hi]], oa[lo : hi + 1] - oa[lo], k)
+                sb, bb = shingle_sets(rb[ob[lo] : ob[hi]], ob[lo : hi + 1] - ob[lo], k)
+                for i in range(hi - lo):
+                    good[lo + i] = _similar(sa[ba[i] : ba[i + 1]], sb[bb[i] : bb[i + 1]], pct)
+            yield batch.select(list(carry)).filter(pa.array(good))
 
     t = texts.select(F.col("c").alias("b"), F.col("text").alias("tb"))
     # the second side, which a leader shares with many pairs, comes last and is not moved with them
-    return pairs.join(t.hint("merge"), "b").join(t.toDF("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    both = pairs.join(t.hint("merge"), "b").join(t.toDF("a", "ta").hint("merge"), "a").select("a", "b", *extra, "ta", "tb")
+    return both.mapInArrow(run, f"{carry[0]} binary, {carry[1]} binary")
+
 
+def components(links: DataFrame) -> DataFrame:
+    """(c, comp) for every end of a link (a, b): the smallest class reachable, by label propagation with pointer jumping.
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(c, comp): the smallest node reachable from each node, by label propagation with pointer jumping."""
+    Each round is one query over the table of the round before.
+    """
+    parts = 1 + links.count() // FILE_ROWS
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    state, last = nodes.select("c", F.col("c").alias("comp")), None
+    state = cut(both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "state", parts)
     while True:
-        heard = both.join(state.toDF("b", "comp"), "b").groupBy(F.col("a").alias("c")).agg(F.min("comp").alias("near"))
-        told = cut(state.join(heard, "c", "left").select("c", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp")), "told")
-        jumped = told.join(told.select(F.col("c").alias("comp"), F.col("comp").alias("next")), "comp").select("c", "old", F.col("next").alias("comp"))
-        table = cut(jumped, "state")
-        drop(told)
-        if last is not None:
-            drop(last)
-        state, last = table.select("c", "comp"), table
-        if table.filter("old <> comp").isEmpty():
-            return state
-
-
-def _residual(nodes: DataFrame, state: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Promising pairs of classes that share a node but not a component: (block, a, b).
-
-    A block with few such pairs gives them as (null, a, b).  A block with many
-    gives its members in them instead, as (block, class, component), so what leaves a task
-    grows with its rows and not with their square.
+        heard = both.join(state.select(F.col("c").alias("b"), "comp"), "b").groupBy(F.col("a").alias("c")).agg(F.min("comp").alias("near"))
+        told = state.select("c", F.col("comp").alias("old")).join(heard, "c").select("c", "old", F.least("old", "near").alias("comp"))
+        onward = state.select(F.col("c").alias("comp"), F.col("comp").alias("next"))
+        after = cut(told.join(onward, "comp").select("c", "old", F.least("comp", "next").alias("comp")), "state", parts)
+        drop(state)
+        state = after
+        if state.filter("old <> comp").isEmpty():
+            return state.select("c", "comp")
+
+
+def _open_nodes(classes: DataFrame) -> DataFrame | None:
+    """Rows (node, i, j, c, comp) of nodes, or of pairs of groups (i, j) of a node, that a task can compare; None if all is done."""
+    rows, found = _first_nodes(classes), []
+    for level in range(DEPTH + 1):
+        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        size = cut(size.filter("lo <> hi").select("node", "size"), f"open{level}")
+        most = size.agg(F.max("size")).first()[0] or 0
+        if not most:
+            break
+        here = rows.join(size, "node")
+        whole = here.filter(F.col("size") <= LEAF) if most > LEAF else here
+        found.append(whole.select("node", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "c", "comp"))
+        if most <= LEAF:
+            break
+        large = here.filter(F.col("size") > LEAF)
+        if level == DEPTH:
+            groups = F.ceil(F.col("size") / max(1, LEAF // 2))
+            own = F.pmod(F.xxhash64("c", "node"), groups)
+            dealt = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)))
+            found.append(dealt.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "comp"))
+            break
+        rows = cut(large.select("node", "c", "comp").join(classes.select("c", "sig"), "c").select("node", "c", "comp", "sig").mapInArrow(_deeper(level + 1), _NODE), f"rows{level}")
+    return _union(found) if found else None
+
+
+def _groups(n: np.ndarray) -> list[np.ndarray]:
+    """Row numbers in groups of at most half of ``BLOCK_SHINGLES``, or of one longer row."""
+    out, held, total = [], [], 0
+    for i, m in enumerate(n.tolist()):
+        if held and total + m > BLOCK_SHINGLES // 2:
+            out.append(np.array(held))
+            held, total = [], 0
+        held.append(i)
+        total += m
+    return [*out, np.array(held)] if held else out
+
+
+_FOUND = "block long, a binary, b binary, ca binary, cb binary"
+
+
+def _residual(nodes: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Promising pairs of classes that share a node but not a component: (block, a, b, ca, cb).
+
+    A node with few such pairs gives them as (null, a, b) with their components.  A
+    node with many gives its members in them instead, as (block, class, null, component, null), so what
+    leaves a task grows with its rows and not with their square.
     """
-    rows = nodes.select("node", "c").join(state, "c")
-    mixed = cut(rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")), "mixed").groupBy("node")
-    mixed = cut(mixed.agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps"), "main")
-    low = classes.select("c", "sig")
-    rows = rows.join(mixed, "node").withColumn("is_main", F.col("comp") == F.col("main"))
-    spare = F.col("n_all") - F.col("n_main")
-    bm, bs = F.ceil(F.col("n_main") / BLOCK), F.ceil(spare / SPARE)
-    own = F.pmod(F.xxhash64("c", "node"), F.when(F.col("is_main"), bm).otherwise(bs))
-    to = "array<struct<kind:int,i:bigint,j:bigint,side:int>>"
-    small = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(2).alias("side")))
-    span = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    main = F.transform(span(bs), lambda j: F.struct(F.lit(1).alias("kind"), own.alias("i"), j.alias("j"), F.lit(0).alias("side")))
-    cross = F.transform(span(bm), lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), own.alias("j"), F.lit(1).alias("side")))
-    among = F.transform(span(bs), lambda j: F.struct(F.lit(2).alias("kind"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(j == own, 2).when(own < j, 0).otherwise(1).alias("side")))
-    sent = F.when(F.col("n_all") <= BLOCK, small.cast(to)).when(F.col("is_main"), main.cast(to)).otherwise(F.concat(cross.cast(to), among.cast(to)))
-    rows = rows.select("node", "c", "comp", F.explode(sent).alias("g")).select("node", "g.kind", "g.i", "g.j", "g.side", "c", "comp").join(low, "c")
+
+    def rows_of(block: list, a: list, b: list, ca: list, cb: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *(pa.array(x, pa.binary()) for x in (a, b, ca, cb))], names=["block", "a", "b", "ca", "cb"])
 
     def compare(key: tuple, held: list) -> Iterator[pa.RecordBatch]:
-        block = int(X.mix(np.array([key[0]], np.int64).astype(np.uint64) ^ np.array([(key[1] << 56) + (key[2] << 28) + key[3] + 1], np.uint64)).astype(np.int64)[0])
-        side = np.array([h[0] for h in held])
-        c, comp = [h[1] for h in held], [h[2] for h in held]
+        c, comp, n = [h[0] for h in held], [h[1] for h in held], np.array([h[2] for h in held])
         names: dict = {}
-        comp = np.array([names.setdefault(x, len(names)) for x in comp])
-        sig = _low(np.frombuffer(b"".join(h[3] for h in held), "<u4").reshape(-1, COORDS))
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        left = left if (side == 0).any() else np.flatnonzero(side == 2)
+        code = np.array([names.setdefault(x, len(names)) for x in comp])
+        if len(names) < 2:
+            return
+        sig = _low(_tokens_of([h[3] for h in held]))
         pairs, member, many = [], np.zeros(len(held), bool), 0
-        for lo in range(0, len(left), 64):
-            x = left[lo : lo + 64]
-            hit = (sig[x][:, None, :] == sig[right][None, :, :]).sum(axis=2) >= least
-            hit &= comp[x][:, None] != comp[right][None, :]
+        for lo in range(0, len(held), 64):
+            x = np.arange(lo, min(lo + 64, len(held)))
+            hit = (sig[x][:, None, :] == sig[lo:][None, :, :]).sum(axis=2) >= least
+            hit &= code[x][:, None] != code[lo:][None, :]
             p, q = np.nonzero(hit)
-            member[x[p]] = member[right[q]] = True
+            later = x[p] < q + lo
+            p, q = x[p[later]], q[later] + lo
+            member[p] = member[q] = True
             many += len(p)
-            if many <= DENSE * len(held):
-                pairs += zip(x[p].tolist(), right[q].tolist(), strict=True)
+            pairs.append(np.stack([p, q], axis=1))
+        pairs = np.concatenate(pairs)
         if many > DENSE * len(held):
-            own = np.flatnonzero(member).tolist()
-            yield _rows([block] * len(own), [c[i] for i in own], [held[i][2] for i in own])
-        elif pairs:
-            yield _rows([None] * len(pairs), [min(c[i], c[j]) for i, j in pairs], [max(c[i], c[j]) for i, j in pairs])
-
-    def _rows(block: list, a: list, b: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["block", "a", "b"])
+            own = np.flatnonzero(member)
+            groups = [own[g] for g in _groups(n[own])]
+            alone = [g for g in groups if n[g].sum() > BLOCK_SHINGLES // 2]  # one long row each: its pairs are confirmed two at a time
+            fit = [g for g in groups if n[g].sum() <= BLOCK_SHINGLES // 2]
+            for x in range(len(fit)):
+                for y in range(x, len(fit)) if len(fit) == 1 else range(x + 1, len(fit)):
+                    both = (fit[x] if x == y else np.concatenate((fit[x], fit[y]))).tolist()
+                    block = int(X.mix(np.array([key[0]], np.int64).astype(np.uint64) ^ X.mix(np.array([(key[1] << 40) ^ (key[2] << 20) ^ (x << 10) ^ y], np.uint64))).astype(np.int64)[0])
+                    yield rows_of([block] * len(both), [c[i] for i in both], [None] * len(both), [comp[i] for i in both], [None] * len(both))
+            long = np.zeros(len(held), bool)
+            for g in alone:
+                long[g] = True
+            pairs = pairs[long[pairs[:, 0]] | long[pairs[:, 1]]]
+        if len(pairs):
+            pairs = [(i, j) if c[i] < c[j] else (j, i) for i, j in pairs.tolist()]
+            yield rows_of([None] * len(pairs), [c[i] for i, _ in pairs], [c[j] for _, j in pairs], [comp[i] for i, _ in pairs], [comp[j] for _, j in pairs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if r[:4] != key:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if r[:3] != key:
                     if len(held) > 1:
                         yield from compare(key, held)
-                    key, held = r[:4], []
-                held.append((r[4], r[5], r[6], r[7]))
+                    key, held = r[:3], []
+                held.append(r[3:])
         if len(held) > 1:
             yield from compare(key, held)
 
-    keys = ["node", "kind", "i", "j"]
-    rows = rows.select(*keys, "side", "c", "comp", "sig").repartition(width(nodes.sparkSession), *keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(run, "block long, a binary, b binary")
+    keys = ["node", "i", "j"]
+    rows = nodes.join(classes.select("c", "n", "sig"), "c").select(*keys, "c", "comp", "n", "sig")
+    return rows.repartition(width(nodes.sparkSession), *keys).sortWithinPartitions(*keys, "c").mapInArrow(run, _FOUND)
 
 
 def _confirmed_blocks(members: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
-    """Links between components within blocks (block, class, component), from all members' full sets.
+    """Links (ca, cb) between components within blocks (block, a, ca), from all members' full sets.
 
-    Of the links of a block those are given that join components not joined yet.
+    Of the links of a block those are given that join components not joined yet.  A
+    task holds the sets of one block, not its texts.
     """
 
-    def settle(held: list) -> Iterator[pa.RecordBatch]:
-        s, bound = shingle_sets(*X.buffers(pa.array([h[2] for h in held], pa.string())), k)
-        n = np.diff(bound)
-        _, col, count = np.unique(s, return_inverse=True, return_counts=True)
+    def settle(comp: list, sets: list) -> Iterator[pa.RecordBatch]:
+        n = np.array([len(x) for x in sets])
+        _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = count[col] > 1
-        row, col = np.repeat(np.arange(len(held)), n)[shared], col[shared]
+        row, col = np.repeat(np.arange(len(sets)), n)[shared], col[shared]
         _, col = np.unique(col, return_inverse=True)
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        both = np.zeros((len(held), len(held)), np.float32)
+        both = np.zeros((len(sets), len(sets)), np.float32)
         for lo in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
             a, z = np.searchsorted(col, (lo, lo + COLUMNS))
-            dense = np.zeros((len(held), COLUMNS), np.float32)
+            dense = np.zeros((len(sets), COLUMNS), np.float32)
             dense[row[a:z], col[a:z] - lo] = 1
             both += dense @ dense.T
         both = both.astype(np.int64)
@@ -337,28 +390,33 @@ def _confirmed_blocks(members: DataFrame, texts: DataFrame, k: int, pct: int) ->
 
         out = []
         for i, j in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
-            x, y = find(held[i][1]), find(held[j][1])
+            x, y = find(comp[i]), find(comp[j])
             if x != y:
                 root[x] = y
-                out.append((held[i][0], held[j][0]))
+                out.append((comp[i], comp[j]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], names=["ca", "cb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, comp, sets = None, [], []
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if r[0] != key:
-                    if len(held) > 1:
-                        yield from settle(held)
-                    key, held = r[0], []
-                held.append(r[1:])
-        if len(held) > 1:
-            yield from settle(held)
-
-    rows = members.select("block", F.col("a").alias("c"), F.col("b").alias("comp")).join(texts.hint("merge"), "c").select("block", "c", "comp", "text")
-    rows = rows.repartition(width(members.sparkSession), "block").sortWithinPartitions("block", "c")
-    return rows.mapInArrow(run, "a binary, b binary")
+            blocks, comps = batch.column("block").to_pylist(), batch.column("ca").to_pylist()
+            raw, o = X.buffers(batch.column("text"))
+            for lo, hi in X.slices(o, BLOCK_BYTES):
+                s, bound = shingle_sets(raw[o[lo] : o[hi]], o[lo : hi + 1] - o[lo], k)
+                for i in range(lo, hi):
+                    if blocks[i] != key:
+                        if len(sets) > 1:
+                            yield from settle(comp, sets)
+                        key, comp, sets = blocks[i], [], []
+                    comp.append(comps[i])
+                    sets.append(s[bound[i - lo] : bound[i - lo + 1]].copy())
+        if len(sets) > 1:
+            yield from settle(comp, sets)
+
+    rows = members.select("block", F.col("a").alias("c"), "ca").join(texts.hint("merge"), "c").select("block", "ca", "c", "text")
+    rows = rows.repartition(width(members.sparkSession), "block").sortWithinPartitions("block", "c").select("block", "ca", "text")
+    return rows.mapInArrow(run, "ca binary, cb binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, similarity_pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,31 +432,27 @@ def near_duplicates(docs: DataFrame, k: int = 4, similarity_pct: int = 80, id_co
     least = agreement(similarity_pct)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     src = src.select("id", F.xxhash64("text").alias("fp"), "text")
-    rows = cut(src.mapInArrow(_describe(k), "id long, fp long, n long, c binary, sig binary"), "rows")
-    name = F.struct(F.col("id").isNull(), "id", "fp")
-    classes = cut(
-        rows.filter("n > 0").groupBy("c").agg(F.min("id").alias("label"), F.min(name).alias("name"), F.min("sig").alias("sig")).select("c", "label", F.col("name.id").alias("id"), F.col("name.fp").alias("fp"), "sig"),
-        "classes",
-    )
-    nodes = _nodes(classes)
-    leaders = cut(nodes.join(classes.select("c", "label"), "c").groupBy("node").agg(F.min("c").alias("l1"), F.max("c").alias("l2"), F.min_by("c", F.struct("label", "c")).alias("l3")), "leaders")
-    stars = nodes.select("node", "c").join(leaders, "node").select("c", F.explode(F.array("l1", "l2", "l3")).alias("l")).filter("c <> l")
-    stars = stars.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b")).distinct()
-    first = cut(_promising(stars, classes, least), "stars")
-    seen = cut(nodes.select("c").distinct().join(classes.select("c", "id", "fp"), "c"), "seen")
-    # the text of one document of each class that shares a node with another class
-    texts = cut(src.withColumn("nid", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0))).join(seen.hint("merge").select("c", F.col("id").isNull().alias("nid"), F.coalesce("id", F.lit(0)).alias("id"), "fp"), ["nid", "id", "fp"]).select("c", "text").groupBy("c").agg(F.min("text").alias("text")), "texts")
-    links = cut(_confirmed(first, texts, k, similarity_pct), "links1")
-    state = components(seen, links)
-    more = cut(_residual(nodes, state, classes, least), "residual")
-    sparse = more.filter("block is null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    found = _confirmed(sparse, texts, k, similarity_pct).unionByName(_confirmed_blocks(more.filter("block is not null"), texts, k, similarity_pct))
-    links2 = cut(found, "links2")
-    if not links2.isEmpty():
-        state = components(seen, links.unionByName(links2))
-    owned = classes.select("c", "label").join(state, "c", "left").select("c", "label", F.coalesce("comp", "c").alias("comp"))
-    lowest = cut(owned.groupBy("comp").agg(F.min("label").alias("component_id")), "lowest")
-    named = cut(owned.join(lowest, "comp").select("c", "component_id"), "named")
-    out = rows.join(named, "c", "left")
+    rows = cut(src.mapInArrow(_describe(k), "id long, fp long, n long, c binary, sig binary, text string"), "rows")
+    # the texts of a class have the same set, so any of them serves
+    classes = rows.filter("n > 0").groupBy("c").agg(F.min("id").alias("label"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("text").alias("text"))
+    classes = cut(classes, "classes")
+    texts = classes.select("c", "text")
+    first = cut(_promising(_stars(classes), classes, least), "stars")
+    links = cut(_confirmed(first, texts, k, similarity_pct), "links")
+    state = components(links)
+    placed = cut(classes.select("c", "label", "n", "sig").join(state, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "placed")
+    named = placed.select("c", "label", "comp")
+    nodes = _open_nodes(placed)
+    if nodes is not None:
+        more = cut(_residual(nodes, placed, least), "residual")
+        sparse = more.filter("block is null").select("a", "b", "ca", "cb").distinct().join(first, ["a", "b"], "left_anti")
+        found = _confirmed(sparse, texts, k, similarity_pct, ("ca", "cb")).unionByName(_confirmed_blocks(more.filter("block is not null"), texts, k, similarity_pct))
+        links = cut(found.distinct().toDF("a", "b"), "links")
+        if not links.isEmpty():
+            joined = components(links).toDF("comp", "to")
+            named = named.join(joined, "comp", "left").select("c", "label", F.coalesce("to", "comp").alias("comp"))
+    lowest = named.groupBy("comp").agg(F.min("label").alias("component_id"))
+    named = named.join(lowest, "comp").select("c", "component_id")
+    out = rows.select("id", "fp", "n", "c").join(named, "c", "left")
     comp = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "fp", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))

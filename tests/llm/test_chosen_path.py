@@ -41,19 +41,27 @@ def test_against_all_pairs(make, k, pct):
     assert 0 < sum(v[1] != d for d, v in want.items()) < len(rows)
 
 
-def test_a_large_group_in_small_blocks(make, monkeypatch):
-    """A group whose members are near a few others only: leaders don't link it, and blocks are cut and dense."""
+@pytest.mark.parametrize("depth,shingles,dense", [(12, 1 << 19, 2), (0, 1 << 19, 2), (1, 300, 0), (2, 60, 0), (12, 1 << 19, 10**9)])
+def test_a_large_group_in_small_nodes(make, monkeypatch, depth, shingles, dense):
+    """A group whose members are near a few others only: leaders don't link it; nodes branch, end in groups, and are dense or not."""
     monkeypatch.setattr(C, "LEAF", 8)
-    monkeypatch.setattr(C, "BLOCK", 16)
-    monkeypatch.setattr(C, "SPARE", 8)
+    monkeypatch.setattr(C, "DEPTH", depth)
+    monkeypatch.setattr(C, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(C, "DENSE", dense)
     rnd = random.Random(6)
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join(edit(rnd, base, rnd.randrange(9)))) for i in range(150)] + [(200 + i, " ".join(f"o{i}x{j}" for j in range(30))) for i in range(20)]
     want = brute.near(rows)
     assert len({v[1] for v in want.values()}) > 22
     assert run(make(rows)) == want
-    monkeypatch.setattr(C, "DENSE", 10**9)
-    assert run(make(rows)) == want
+
+
+def test_groups_are_bounded(monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_SHINGLES", 20)
+    n = np.array([3, 4, 5, 30, 1, 9, 1])
+    groups = C._groups(n)
+    assert np.concatenate(groups).tolist() == list(range(7))
+    assert all(n[g].sum() <= 10 or len(g) == 1 for g in groups)
 
 
 def test_a_chain_of_links(make):
@@ -104,7 +112,7 @@ def test_a_pair_at_the_threshold_meets_in_a_tree():
     for tree in range(C.TREES):
         pa_, pb = (np.full(n, C.X.mix(np.array([tree + 1], np.uint64))[0], np.uint64) for _ in range(2))
         ra = rb = np.arange(n)
-        for level in range(C.DEPTH):
+        for level in range(4):
             ia, pa_ = C._children(pa_, a[ra], level)
             ib, pb = C._children(pb, b[rb], level)
             ra, rb = ra[ia], rb[ib]
