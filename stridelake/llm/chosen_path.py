@@ -13,22 +13,21 @@
 4. A node whose classes are all of one component is done: further links would
    change nothing.  Of the others, those of up to ``LEAF`` classes are compared
    exhaustively, between components; larger ones branch again, until they are small
-   or done.  Only classes that agree in every token chosen on the way can stay together for
-   ``DEPTH`` levels; such a node is dealt in groups of half a leaf, and
-   every two groups are compared, so it costs time but no pair and no memory.
+   or done.  Branching parts classes of little likeness at once, but not crowds that are
+   nearly near: a node that is still large after ``DEPTH`` levels is dealt in groups of half
+   a leaf, and every two groups are compared, so it costs time but no pair and no memory.
 
 A pair at the threshold shares nodes of a tree down to any depth with a chance of about
 0.8.  All trees choose from the same ``COORDS`` tokens, so they aren't independent: over the
 number of tokens that agree, eight trees miss a pair of similarity 0.80 with a chance of
-1.0e-4 and one of 0.82 with 3.7e-5 where four levels are needed, more at greater depth
-(README has the figures).
+1.0e-4 and one of 0.82 with 3.7e-5 where four levels are needed.
 
 No node is capped or sampled.  All pairs of a group are never emitted: agreement
 is tested where the rows meet.  Where few pairs of a node are promising the pairs
 leave the task, and are confirmed one by one; else the node's members do, and are
 confirmed together, so what moves grows with the rows.  A block that is confirmed
-together has at most ``BLOCK_SHINGLES`` shingles; longer ones are cut in groups, and every
-two groups make a block.
+together has at most ``BLOCK_SHINGLES`` shingles and ``BLOCK_ROWS`` rows; more are cut in
+groups, and every two groups make a block.
 """
 
 from __future__ import annotations
@@ -46,10 +45,11 @@ from stridelake.llm._store import cut, drop, width
 
 COORDS = 64
 TREES = 8
-DEPTH = 12
-LEAF = 128
+DEPTH = 6
+LEAF = 2048
 DENSE = 2  # pairs for each row from which a node is confirmed as a whole
 BLOCK_SHINGLES = 1 << 19
+BLOCK_ROWS = 768
 COLUMNS = 4096
 BLOCK_BYTES = 2 << 20
 FILE_ROWS = 50_000  # of the tables of links
@@ -187,9 +187,10 @@ def _low(sig: np.ndarray) -> np.ndarray:
 
 def _stars(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of each class and three leaders of each of its first nodes."""
-    nodes = _first_nodes(classes.withColumn("comp", F.lit(b""))).select("node", "c")
-    leaders = nodes.groupBy("node").agg(F.min("c").alias("l1"), F.max("c").alias("l2"), F.min_by("c", F.xxhash64("c")).alias("l3")).filter("l1 <> l2")
-    pairs = nodes.join(leaders, "node").select("c", F.explode(F.array("l1", "l2", "l3")).alias("l")).filter("c <> l")
+    label = F.coalesce(F.format_string("%020d", "label"), F.lit("~"))  # carried in the place of the component: the class of the smallest id is a leader
+    nodes = _first_nodes(classes.withColumn("comp", label.cast("binary")))
+    leaders = nodes.groupBy("node").agg(F.min("c").alias("l1"), F.max("c").alias("l2"), F.min(F.struct("comp", "c"))["c"].alias("l3")).filter("l1 <> l2")
+    pairs = nodes.select("node", "c").join(leaders, "node").select("c", F.explode(F.array("l1", "l2", "l3")).alias("l")).filter("c <> l")
     return pairs.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b")).distinct()
 
 
@@ -279,10 +280,10 @@ def _open_nodes(classes: DataFrame) -> DataFrame | None:
 
 
 def _groups(n: np.ndarray) -> list[np.ndarray]:
-    """Row numbers in groups of at most half of ``BLOCK_SHINGLES``, or of one longer row."""
+    """Row numbers in groups of at most half of ``BLOCK_SHINGLES`` and ``BLOCK_ROWS``, or of one longer row."""
     out, held, total = [], [], 0
     for i, m in enumerate(n.tolist()):
-        if held and total + m > BLOCK_SHINGLES // 2:
+        if held and (total + m > BLOCK_SHINGLES // 2 or 2 * len(held) >= BLOCK_ROWS):
             out.append(np.array(held))
             held, total = [], 0
         held.append(i)
