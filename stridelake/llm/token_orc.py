@@ -15,9 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stridelake.llm import _text as X
 from stridelake.llm._store import cut, new_path, width
 
 END_ID = 0
@@ -31,6 +32,8 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 CACHE_WORDS = 500_000
+BLOCK_BYTES = 1 << 20
+BROADCAST_SPLITS = 100_000
 
 #: Blanks other than a space and a newline; texts with one are encoded as they are.
 _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -55,15 +58,15 @@ class WordCache:
     there; words, and texts, that come again are kept as the bytes of their ids, words keyed
     without the space before them, or with the newline that stands in its place.  A word of
     letters is one piece and goes straight to the library's model, any other word
-    to the library as a text.  Texts with runs of blanks, or with other blanks,
-    go to the library as they are.
+    to the library as a text.  Texts with runs of blanks, with other blanks, or
+    with the string of an added token, which the library reads as that token, go to the library as they are.
     """
 
     def __init__(self, path: str, size: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.lib, self.size = Tokenizer.from_file(path), size
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values() if t.content]
         self.letters = _byte_letters()
         model = self.lib.model
         if hasattr(model, "_resize_cache"):
@@ -126,7 +129,7 @@ class WordCache:
         return got
 
     def _encode(self, text: str) -> bytes:
-        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or any(c in text for c in _ODD):
+        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or any(c in text for c in _ODD) or any(c in text for c in self.added):
             return self._whole(text)
         head, *rest = text.replace("\n", " \n").split(" ")
         get, word = self.known.get, self._word
@@ -149,43 +152,52 @@ def _deal(src: DataFrame, n: int) -> DataFrame:
     """Rows dealt to ``n`` partitions by ranges of ``doc_id``, with the range's number as ``part``; nulls are in the first.
 
     The ranges' bounds come from the ids alone, so the texts are read once; a
-    range partitioner would read them once more to sample them.  Each range is
+    range partitioner would read them once more to sample them.  An id that is several bounds at
+    once, as it has more rows than a range, is dealt by ranges of ``tie``.  Each range is
     given a key that Spark's hash partitioner sends to a partition of its own.
     """
-    bounds = src.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    bounds = sorted(set(bounds or []))
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    bounds = src.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
     if not bounds:
         return src.coalesce(1).withColumn("part", F.lit(0))
+    ends = sorted(set(bounds))
+    times = [bounds.count(x) for x in ends]
     spark = src.sparkSession
     homes = {r.home: r.key for r in spark.range(40 * n).select(F.col("id").cast("int").alias("key")).groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("home")).agg(F.min("key").alias("key")).collect()}
     keys = [homes.get(i, i) for i in range(len(bounds) + 1)]
-    b, steps = F.array(*(F.lit(x).cast("long") for x in bounds)), F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    b, steps = F.array(*(F.lit(x).cast("long") for x in ends)), F.sequence(F.lit(1), F.lit(len(ends).bit_length()))
 
     def halve(s, _):  # the number of bounds below the id, by halving
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        up = (s["lo"] < s["hi"]) & (F.get(b, mid) < F.col("doc_id"))
+        up = (s["lo"] < s["hi"]) & (F.get(b, mid) < key)
         return F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
 
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda s: s["lo"])
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(found)
-    return src.withColumn("part", part).repartition(n, F.get(F.array(*map(F.lit, keys)), F.col("part")))
+    src = src.withColumn("at", F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(ends)).alias("hi")), halve, lambda s: s["lo"]))
+    below = F.get(F.array(*(F.lit(sum(times[:i])) for i in range(len(ends) + 1))), F.col("at"))
+    if max(times) > 1:
+        many = F.when(F.get(b, F.col("at")) == key, F.get(F.array(*map(F.lit, times)), F.col("at"))).otherwise(1)
+        below = below + F.floor(F.col("tie") / (1 << 32) * many).cast("int")
+    src = src.withColumn("part", below).drop("at")
+    return src.repartition(n, F.get(F.array(*map(F.lit, keys)), F.col("part")))
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> str:
     """Encode every whole text, append the end id and write (part, doc_id, n_tokens, ids) as ORC under ``path``.
 
     A null text counts as empty and yields the end id alone.  Rows that repeat
-    an id are all written, next to each other; null ids come first.
+    an id are all written, next to each other, in the order of a hash of their texts; null
+    ids come first.  An id may have more rows than a file; the rows of one id and one text share one.
     """
     n = partitions or width(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = _deal(src, n).sortWithinPartitions("part", "doc_id", F.xxhash64("text"))
+    src = src.withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 32))
+    dealt = _deal(src, n).sortWithinPartitions("part", "doc_id", "tie", F.xxhash64("text")).select("part", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, end = shared_cache(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo, hi in X.slices(X.buffers(batch.column("text"))[1], BLOCK_BYTES):
+                part = batch.slice(lo, hi - lo)
                 coded = [cache.encode(t) for t in part.column("text").to_pylist()]
                 offsets = np.cumsum([0] + [len(c) // 4 + 1 for c in coded], dtype=np.int32)
                 flat = np.frombuffer(b"".join([x for c in coded for x in (c, end)]), "<i4")
@@ -203,14 +215,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: (doc_id, start, n_tokens, ids_crc32).
 
-    ``start`` counts the ids of all documents before it in the files' order.  A
+    ``start`` counts the ids of all documents before it in the files' order: by range, by
+    file (a range may have several, numbered as they were written) and by place in the file.  A
     task counts from the start of each file split that it reads, in the order
-    of the split's rows; the driver gathers one total for each split and gives each
-    its own start.
+    of the split's rows.  The splits of a range are summed up in order; the driver gathers one
+    total for each range.  The splits' starts are broadcast if they are few, else joined by key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], int] = {}
+        seen: dict[tuple[str, int], int] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -218,24 +231,36 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             off = ids.offsets.to_numpy()
             flat = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
             crc = [zlib.crc32(flat[a:z]) for a, z in zip(off[:-1], off[1:], strict=True)]
-            part, block = (batch.column(c).to_numpy() for c in ("part", "block"))
-            cuts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (block[1:] != block[:-1]))))
+            names = batch.column("file").dictionary_encode()
+            file, block = names.indices.to_numpy(), batch.column("block").to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (file[1:] != file[:-1]) | (block[1:] != block[:-1]))))
             at = np.empty(batch.num_rows, np.int64)
             for lo, hi in zip(cuts, np.append(cuts[1:], batch.num_rows), strict=True):
-                key = (int(part[lo]), int(block[lo]))
+                key = (names.dictionary[int(file[lo])].as_py(), int(block[lo]))
                 base = seen.get(key, 0)
                 at[lo:hi] = base + off[lo:hi].astype(np.int64) - int(off[lo])
                 seen[key] = base + int(off[hi]) - int(off[lo])
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("block"), batch.column("doc_id"), pa.array(at), pa.array(np.diff(off), pa.int64()), pa.array(crc, pa.int64())], names=["part", "block", "doc_id", "at", "n_tokens", "ids_crc32"])
-
-    rows = read_tokens(spark, path).select("part", "doc_id", "ids", F.col("_metadata.file_block_start").alias("block"))
-    rows = cut(rows.mapInArrow(run, "part int, block long, doc_id long, at long, n_tokens long, ids_crc32 long"), "index")
-    total, starts = 0, []
-    for r in rows.groupBy("part", "block").agg(F.sum("n_tokens").alias("n")).orderBy("part", "block").collect():
-        starts.append((r.part, r.block, total))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("part", "file", "block", "doc_id")), pa.array(at), pa.array(np.diff(off), pa.int64()), pa.array(crc, pa.int64())],
+                names=["part", "file", "block", "doc_id", "at", "n_tokens", "ids_crc32"],
+            )
+
+    # the writer's files of one task differ in the number behind the last dash
+    rows = read_tokens(spark, path).select("part", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), "doc_id", "ids")
+    rows = cut(rows.mapInArrow(run, "part int, file string, block long, doc_id long, at long, n_tokens long, ids_crc32 long"), "index")
+    splits = cut(rows.groupBy("part", "file", "block").agg(F.sum("n_tokens").alias("n")), "splits", 1 + width(spark) // 64)
+    total, firsts = 0, []
+    for r in splits.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        firsts.append((r.part, total))
         total += r.n
-    offsets = spark.createDataFrame(starts, "part int, block long, before long")
-    return rows.join(F.broadcast(offsets), ["part", "block"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    if not firsts:
+        return rows.select("doc_id", F.col("at").alias("start"), "n_tokens", "ids_crc32")
+    first = F.get(F.array(*(F.lit(t).cast("long") for _, t in firsts)), F.array_position(F.array(*(F.lit(p) for p, _ in firsts)), F.col("part")).cast("int") - 1)
+    order = Window.partitionBy("part").orderBy(F.length("file"), "file", "block")
+    starts = splits.select("part", "file", "block", (first + F.sum("n").over(order) - F.col("n")).alias("before"))
+    if splits.count() <= BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
+    return rows.join(starts, ["part", "file", "block"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokens_to_orc(docs: DataFrame, tokenizer_path: str, path: str | None = None, **columns: str) -> DataFrame:

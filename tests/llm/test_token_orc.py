@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stridelake.llm import token_orc as T
@@ -14,9 +15,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def lib():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def ids(lib, text):
@@ -89,3 +88,34 @@ def test_starts_over_many_splits(spark, lib, make, small, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert splits > 2
+
+
+def test_the_string_of_an_added_token_is_that_token(lib, make):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|><|endoftext|>\n y <|endoftext"), (4, "a " * 50 + "<|endoftext|>")]
+    assert ids(lib, rows[0][1]) == [64, 220, 50256, 275]
+    check(lib, rows, T.tokens_to_orc(make(rows), PATH).collect())
+
+
+@pytest.mark.parametrize("limit", [1, 10])
+def test_starts_over_many_files_of_a_range(spark, lib, make, small, limit):
+    rows = small[: 40 * limit]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", limit)
+    try:
+        path = T.write_tokens(make(rows), PATH, new_path(spark, "t"), partitions=2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert T.read_tokens(spark, path).selectExpr("input_file_name() f").distinct().count() > 15
+    check(lib, rows, T.token_index(spark, path).collect())
+
+
+def test_an_id_of_many_rows_is_dealt_over_files(spark, lib, make):
+    rows = [(5 if i % 3 else i, f"text number {i}") for i in range(300)] + [(None, f"n {i}") for i in range(150)]
+    path = T.write_tokens(make(rows), PATH, new_path(spark, "t"), partitions=6)
+    parts = {r.part: r.n for r in T.read_tokens(spark, path).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert len(parts) >= 5 and max(parts.values()) < 150
+    check(lib, rows, T.token_index(spark, path).collect())
+
+
+def test_many_splits_are_joined_without_a_broadcast(spark, lib, make, small, monkeypatch):
+    monkeypatch.setattr(T, "BROADCAST_SPLITS", 0)
+    check(lib, small, T.tokens_to_orc(make(small), PATH).collect())
