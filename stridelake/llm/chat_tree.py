@@ -39,48 +39,64 @@ def unescape_line(c: Column) -> Column:
     return unescape(F.replace(c, F.lit("\\n"), F.lit("\n")))
 
 
-def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
-    """(root, leaf, rank, node, depth) for the nodes of each root's ``top`` best branches (all if None).
-
-    ``messages`` has unique non-null (tree, node) with parent (null for a root) and score.
-    Branches are ranked by the sum of scores, ties by the smaller leaf.  A message
-    whose parent is missing is a root.  Cycles are an error of the input and never
-    reach a root; their messages are left out.
-    """
-    m = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    known = m.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    step = m.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"), F.when(F.col("there"), F.col("node")).alias("r0"))
-    step = cut(step.select("tree", "node", "up", "score", "depth", F.when(F.col("up").isNull(), F.col("node")).alias("root")), "pointers")
-    rounds, limit = [step], step.count()
-    while not step.filter("up is not null").isEmpty() and (1 << (len(rounds) - 1)) <= limit:
-        above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"), F.col("root").alias("root2"))
-        risen = step.filter("up is not null").join(above, ["tree", "up"])  # messages that have reached their root are carried along
-        risen = risen.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("depth") + F.col("d2")).alias("depth"), F.coalesce("root", "root2").alias("root"))
-        step = cut(step.filter("up is null").unionByName(risen), "pointers")
+def _messages(messages: DataFrame) -> DataFrame:
+    """Distinct messages, each with a number of its own (``m``) and the number of the message it replies to (``up``, null for a root)."""
+    cols = ["tree", "node", "parent", "role", "text"]
+    rows = messages.select(*cols, F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).distinct()
+    rows = cut(rows.withColumn("m", F.monotonically_increasing_id()), "messages")  # written, so the numbers stand
+    first = rows.filter("node is not null").groupBy(F.col("tree").alias("t"), F.col("node").alias("n")).agg(F.min_by("m", F.xxhash64("parent", "role", "text", "score")).alias("up"))
+    return cut(rows.join(first, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left").drop("t", "n"), "replies")
+
+
+def _chosen(m: DataFrame, top: int | None) -> DataFrame:
+    """(tree, root, leaf, rank, m, depth): the nodes of the best branches, with the names of root and leaf."""
+    start = m.select("m", "tree", "node", "up", "score", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.when(F.col("up").isNull(), F.struct("m", "node")).alias("root"))
+    # messages that have reached their root are written once; the others are pointed twice as far up each round
+    rounds, done, limit = [], start.filter("up is null"), m.count()
+    step = cut(start.filter("up is not null"), "pointers")
+    while not step.isEmpty() and (1 << len(rounds)) <= limit:
         rounds.append(step)
-    inner = m.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = step.filter("root is not null").join(inner, ["tree", "node"], "left_anti")
-    order = Window.partitionBy("tree", "root").orderBy(F.desc("score"), "node")
+        ends = lambda d: d.select(F.col("m").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"), F.col("root").alias("root2"))
+        risen = step.join(ends(done).unionByName(ends(step)), "up")
+        risen = risen.select("m", "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("root2").alias("root"))
+        risen = cut(risen, "pointers")
+        done, step = done.unionByName(risen.filter("up is null")), risen.filter("up is not null")
+    inner = m.filter("up is not null").select(F.col("up").alias("m")).distinct()
+    leaves = done.join(inner, "m", "left_anti")
+    order = Window.partitionBy("root.m").orderBy(F.desc("score"), "node", "m")
     ranked = leaves.withColumn("rank", F.row_number().over(order))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
-    got = cut(ranked.select("tree", "root", F.col("node").alias("leaf"), "rank", "node", "depth"), "leaves")
-    for jumps in reversed(rounds[:-1]):  # all ancestors at distances whose binary digits have been seen
-        k = rounds.index(jumps)
-        more = got.join(jumps.filter("up is not null").select("tree", "node", "up"), ["tree", "node"]).select("tree", "root", "leaf", "rank", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
+    got = cut(ranked.select("tree", "root", F.col("node").alias("leaf"), "rank", "m", "depth"), "leaves")
+    for k in reversed(range(len(rounds))):  # all ancestors at distances whose binary digits have been seen
+        more = got.join(rounds[k].select("m", "up"), "m").select("tree", "root", "leaf", "rank", F.col("up").alias("m"), (F.col("depth") - (1 << k)).alias("depth"))
         got = cut(got.unionByName(more), "path")
     return got
 
 
+def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
+    """(tree, root, leaf, rank, node, depth) for the nodes of each root's ``top`` best branches (all if None).
+
+    ``messages`` has tree, node, parent (null for a root), role, text and score.
+    Branches are ranked by the sum of scores, ties by the smaller leaf.  A message
+    whose parent is missing is a root.  Rows equal in all these columns are one message.  Other
+    messages that share a tree and node are several, and replies go to the one of the smallest hash of its
+    contents.  A message without a node takes part, but nothing replies to it.  A null tree is a tree
+    like others.  Cycles are an error of the input and never reach a root; their messages are left out.
+    """
+    m = _messages(messages)
+    return _chosen(m, top).join(m.select("m", "node"), "m").select("tree", F.col("root.node").alias("root"), "leaf", "rank", "node", "depth")
+
+
 def format_chats(messages: DataFrame, top: int | None = 1) -> DataFrame:
     """(tree, root, leaf, rank, formatted, loss_mask) for the best branches of each root.
 
-    ``messages``: tree, node, parent, role, text, score.  Null roles and texts
-    are empty.  ``loss_mask`` holds (start, length) in code points of every
+    ``messages``: tree, node, parent, role, text, score; see :func:`paths` for repeated, tied and
+    missing ones.  Null roles and texts are empty.  ``loss_mask`` holds (start, length) in code points of every
     assistant text in ``formatted``.  An empty table gives no rows.
     """
-    body = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    on = paths(messages, top).join(body, ["tree", "node"])
+    m = _messages(messages)
+    on = _chosen(m, top).join(m.select("m", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), "m")
     head = F.concat(F.lit(OPEN), escape_line(F.col("role")), F.lit(MIDDLE))
     inner = escape(F.col("text"))
     on = on.select("tree", "root", "leaf", "rank", "depth", head.alias("head"), inner.alias("inner"), (F.col("role") == "assistant").alias("learn"))
@@ -96,7 +112,7 @@ def format_chats(messages: DataFrame, top: int | None = 1) -> DataFrame:
         ),
     )
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["inner"], F.lit(CLOSE))), "")
-    return out.select("tree", "root", "leaf", "rank", text.alias("formatted"), mask["spans"].alias("loss_mask"))
+    return out.select("tree", F.col("root.node").alias("root"), "leaf", "rank", text.alias("formatted"), mask["spans"].alias("loss_mask"))
 
 
 def read_turns(formatted: Column) -> Column:

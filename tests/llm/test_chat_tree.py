@@ -90,6 +90,53 @@ def test_control_strings_only_from_the_template(spark):
     assert r.formatted.count("</turn>") == 1 and r.formatted.count("### ") == 1
 
 
+def chats(spark, rows, top=1):
+    out = C.format_chats(frame(spark, rows), top).withColumn("turns", C.read_turns(F.col("formatted")))
+    return sorted(((r.tree is None, r.tree, r["rank"], r.root, r.leaf, [t.text for t in r.turns]) for r in out.collect()), key=repr)
+
+
+CHAIN = [(1, i, i - 1 if i else None, "user", f"m{i}", 1.0) for i in range(4)]
+
+
+def test_repeated_messages_are_one(spark):
+    want = [(False, 1, 1, 0, 3, ["m0", "m1", "m2", "m3"])]
+    assert chats(spark, CHAIN) == want
+    assert chats(spark, [*CHAIN, CHAIN[1]]) == want
+    assert chats(spark, CHAIN * 3) == want
+
+
+def test_messages_that_share_a_node_are_branches(spark):
+    rows = [*CHAIN, (1, 1, 0, "user", "other", 9.0)]
+    got = chats(spark, rows, None)
+    assert sorted(len(g[-1]) for g in got) == [2, 4] and {g[-1][1] for g in got} == {"m1", "other"}
+    both = [g[-1] for g in got]
+    assert chats(spark, rows * 2, None) == got and all(b[0] == "m0" for b in both)
+
+
+def test_null_nodes_and_null_trees(spark):
+    reply = (1, None, 3, "assistant", "last", 9.0)
+    assert chats(spark, [*CHAIN, reply]) == [(False, 1, 1, 0, None, ["m0", "m1", "m2", "m3", "last"])]
+    lone = (1, None, None, "user", "alone", 0.0)
+    assert sorted(g[-1] for g in chats(spark, [*CHAIN, lone])) == [["alone"], ["m0", "m1", "m2", "m3"]]
+    nowhere = [(None, *r[1:]) for r in CHAIN]
+    assert [g[-1] for g in chats(spark, nowhere + CHAIN)] == [["m0", "m1", "m2", "m3"]] * 2
+
+
+def test_ties_of_score_go_to_the_smaller_leaf(spark):
+    rows = [CHAIN[0], (1, 5, 0, "user", "b", 1.0), (1, 4, 0, "user", "a", 1.0)]
+    assert [g[4] for g in chats(spark, rows, None)] == [4, 5]
+
+
+def test_rows_of_the_query_that_tie_or_lack_values(spark, tmp_path):
+    from stridelake.llm.queries import op6_chat_trees
+
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (1, None, "user", "n"), (None, 0, "assistant", None), (None, 0, None, "z"), (2, 7, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in op6_chat_trees(spark, str(tmp_path)).collect()}
+    assert {k: (r.n_turns, r.loss_chars) for k, r in got.items()} == {1: (4, 2), None: (2, 0), 2: (1, 0), -7: (2, 26)}
+    assert got[1].turns_sha256 == hashlib.sha256(b"user\nn\nuser\na\nassistant\nb\nassistant\nb\n").hexdigest()
+
+
 def test_empty_and_query(spark):
     assert C.format_chats(frame(spark, [])).collect() == []
     from stridelake.llm.queries import op6_chat_trees
