@@ -14,7 +14,9 @@ passage shares with the item's question and with its answer.
 
 The index is broadcast.  Items are indexed in shards of at most ``SHARD_BYTES``
 of text, and one shard after another meets the documents, so the broadcast is
-bounded however many items there are.
+bounded however many items there are.  The number of items, their mean and greatest length and
+each term's number of items are counted over all items first, so a score, and the cut of the passages,
+is the same in however many shards the items are.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.llm import _text as X
+from stridelake.llm._store import cut
 
 THRESHOLD = 0.6
 OVERLAP = 0.8
@@ -36,6 +40,7 @@ RUN = 3
 K1, B = 1.2, 0.75
 POSTINGS = 32
 LEAST_PASSAGE = 64
+LEAST_ITEM = 2  # words; an item of one word has no answer to verify
 SHARD_BYTES = 32 << 20
 BLOCK_BYTES = 2 << 20
 LUT_BITS = 20
@@ -57,44 +62,54 @@ def _runs(h: np.ndarray, n: int) -> set:
     return {tuple(h[i : i + n].tolist()) for i in range(len(h) - n + 1)}
 
 
+class Stats(NamedTuple):
+    """What scores need to know of all items: number, mean and greatest length, and items by term (sorted terms, counts)."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    counts: np.ndarray
+
+
+def stats_of(words: list[np.ndarray]) -> Stats:
+    each = [np.unique(w) for w in words]
+    terms, counts = np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return Stats(len(words), sum(map(len, words)) / max(len(words), 1), max(map(len, words), default=1), terms, counts)
+
+
 class Index:
     """Postings in blocks, with the best score of every term and of every block."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], stats: Stats | None = None):
         raw, offsets = X.buffers(pa.array([t for _, t in items], pa.string()))
         h, first = _words(raw, offsets)
         words = [h[a:z] for a, z in zip(first[:-1], first[1:], strict=True)]
-        kept = [i for i, w in enumerate(words) if len(w)]
+        kept = [i for i, w in enumerate(words) if len(w) >= LEAST_ITEM]
         self.ids = [items[i][0] for i in kept]
         self.words = [words[i] for i in kept]
         self.parts = [self._split(items[i][1] or "", words[i]) for i in kept]
         self.vocab = np.unique(np.concatenate(self.words)) if kept else np.zeros(0, np.uint64)
-        n = len(kept)
-        mean = sum(map(len, self.words)) / max(n, 1)
+        stats = stats or stats_of(self.words)
+        if len(self.vocab):
+            n, df = stats.n, stats.counts[np.searchsorted(stats.terms, self.vocab)]
+            idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         held: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for i, w in enumerate(self.words):
+        for i, w in enumerate(self.words):  # an item's figures depend on the item and on ``stats`` alone
             terms, tf = np.unique(np.searchsorted(self.vocab, w), return_counts=True)
-            for t, f in zip(terms.tolist(), tf.tolist(), strict=True):
-                held[t].append((i, f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))))
-        own = np.zeros(n)
-        scored = {}
-        for t, posts in held.items():
-            idf = np.log(1 + (n - len(posts) + 0.5) / (len(posts) + 0.5))
-            scored[t] = [(i, idf * s) for i, s in posts]
-            for i, s in scored[t]:
-                own[i] += s
+            s = idf[terms] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / stats.mean)))
+            for t, x in zip(terms.tolist(), (s / s.sum()).tolist(), strict=True):
+                held[t].append((i, x))
         self.items, self.scores, self.block_max = [], [], []
         self.best = np.zeros(len(self.vocab))
         for t in range(len(self.vocab)):
-            at = np.array([i for i, _ in scored[t]], np.int64)
-            s = np.array([s for _, s in scored[t]]) / own[at]
-            self.items.append(at.tolist())
-            self.scores.append(s.tolist())
-            self.block_max.append(np.maximum.reduceat(s, np.arange(0, len(s), POSTINGS)).tolist())
-            self.best[t] = s.max()
+            self.items.append([i for i, _ in held[t]])
+            self.scores.append([x for _, x in held[t]])
+            self.block_max.append(np.maximum.reduceat(self.scores[t], np.arange(0, len(held[t]), POSTINGS)).tolist())
+            self.best[t] = max(self.scores[t])
         # frequent terms first: those that give no item more than half of the threshold can't decide alone
         self.essential = np.ones(len(self.vocab), bool)
-        weak = np.zeros(n)
+        weak = np.zeros(len(kept))
         for t in sorted(range(len(self.vocab)), key=lambda t: -len(self.items[t])):
             more = np.array(self.scores[t])
             if (weak[self.items[t]] + more <= THRESHOLD / 2).all():
@@ -103,7 +118,7 @@ class Index:
         self.starts = np.concatenate(([0], np.cumsum([len(x) for x in self.items]))).astype(np.int64)
         self.flat_items = np.array([i for x in self.items for i in x], np.int64)
         self.flat_scores = np.array([v for x in self.scores for v in x])
-        self.passage = max(LEAST_PASSAGE, 2 * max(map(len, self.words), default=1))
+        self.passage = max(LEAST_PASSAGE, 2 * stats.longest)
         self.lut = np.zeros(1 << LUT_BITS, bool)
         self.lut[(self.vocab >> np.uint64(64 - LUT_BITS)).astype(np.int64)] = True
 
@@ -147,13 +162,14 @@ class Index:
                     ends.append(posts[min(len(posts), (p // POSTINGS + 1) * POSTINGS) - 1])
                     moved.append((t, p))
             if limit + eps >= threshold:
-                score, target = 0.0, pivot + 1
+                gains, target = [], pivot + 1
                 for t, p in moved:
                     posts = self.items[t]
                     while p < len(posts) and posts[p] < pivot:
                         p += 1
                     if p < len(posts) and posts[p] == pivot:
-                        score += self.scores[t][p]
+                        gains.append((t, self.scores[t][p]))
+                score = sum(x for _, x in sorted(gains))  # always in the order of the terms
                 if score + eps >= threshold:
                     out.append((pivot, score))
             else:  # no item up to the end of the nearest block can reach it
@@ -173,9 +189,6 @@ class Index:
         out = []
         for part in self.parts[item]:
             n = min(RUN, len(part))
-            if not n:
-                out.append(1.0)
-                continue
             if n not in have:
                 have[n] = _runs(words, n)
             want = _runs(part, n)
@@ -203,7 +216,7 @@ class Index:
         many = self.starts[known + 1] - self.starts[known]
         post = np.repeat(self.starts[known] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
         pair, back = np.unique(np.repeat(cell, many) * len(self.ids) + self.flat_items[post], return_inverse=True)
-        able = np.bincount(back, self.flat_scores[post], len(pair)) >= THRESHOLD / 2
+        able = np.bincount(back, self.flat_scores[post], len(pair)) >= THRESHOLD / 2 - 1e-9
         worth = np.unique(pair[able] // len(self.ids))
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
         for c in worth.tolist():
@@ -221,24 +234,58 @@ class Index:
             yield r, item, *x
 
 
+def _global_stats(items: DataFrame) -> tuple[Stats, DataFrame]:
+    """The items' figures without terms, and a table of (term, df), however many items there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = X.buffers(batch.column("text"))
+            for lo, hi in X.slices(offsets, BLOCK_BYTES):
+                o = offsets[lo : hi + 1]
+                h, first = _words(raw[o[0] : o[-1]], o - o[0])
+                words = [w for w in (h[a:z] for a, z in zip(first[:-1], first[1:], strict=True)) if len(w) >= LEAST_ITEM]
+                if words:
+                    each = [np.unique(w) for w in words]
+                    size = np.concatenate([np.where(np.arange(len(t)) == 0, len(w), 0) for t, w in zip(each, words, strict=True)])  # a length, once an item
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).astype(np.int64)), pa.array(size, pa.int64())], names=["term", "size"])
+
+    rows = items.select("text").mapInArrow(run, "term long, size long")
+    df = cut(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum((F.col("size") > 0).cast("long")).alias("items"), F.sum("size").alias("words"), F.max("size").alias("longest")), "terms")
+    t = df.agg(F.sum("items").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest")).first()
+    none = np.zeros(0, np.uint64)
+    return Stats(t.n or 0, (t.words or 0) / max(t.n or 0, 1), t.longest or 1, none, none.astype(np.int64)), df.select("term", "df")
+
+
+def _shard_stats(total: Stats, df: DataFrame, rows: list[tuple[int, str]]) -> Stats:
+    """The figures with the counts of one shard's terms."""
+    words = _words(*X.buffers(pa.array([t for _, t in rows], pa.string())))[0]
+    terms = np.unique(words)
+    own = df.sparkSession.createDataFrame(pa.table({"term": terms.astype(np.int64)}))
+    got = df.join(own, "term", "left_semi").collect()
+    found = np.array([r.term for r in got], np.int64).astype(np.uint64)
+    order = np.argsort(found)
+    return total._replace(terms=found[order], counts=np.array([r.df for r in got], np.int64)[order])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Return (id, fp, item_id, score, question_overlap, answer_overlap) for each document and test item in it.
 
-    A null or empty text, or item, matches nothing; items without words are not
-    indexed.  Rows are judged one by one, so repeated or null ids appear as
-    often as their rows match.  ``fp`` is a hash of the text.  An empty
-    table of either kind gives no rows.
+    A null or empty text, or item, matches nothing; items of fewer than ``LEAST_ITEM`` words have no
+    question and answer to verify and are not indexed.  Items that repeat id and text are one.  Rows are
+    judged one by one, so repeated or null ids appear as often as their rows match; a null item's id is the
+    smallest long.  ``fp`` is a hash of the text.  An empty table of either kind gives no rows.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     src = src.select("id", F.xxhash64("text").alias("fp"), "text")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(-(1 << 63))).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
+    total = _global_stats(items) if shards > 1 else None
     schema = "id long, fp long, item_id long, score double, question_overlap double, answer_overlap double"
     out = None
     for shard in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard).collect()
-        index = src.sparkSession.sparkContext.broadcast(Index(sorted({(r.item if r.item is not None else -(1 << 63), r.text) for r in rows})))
+        rows = sorted((r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard).collect())
+        index = src.sparkSession.sparkContext.broadcast(Index(rows, _shard_stats(*total, rows) if total else None))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             idx = index.value
@@ -249,7 +296,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     got = list(idx.matches(*_words(raw[o[0] : o[-1]], o - o[0]))) if idx.ids else []
                     if got:
                         at = pa.array([lo + g[0] for g in got])
-                        yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("fp").take(at), pa.array([idx.ids[g[1]] for g in got], pa.int64()), *(pa.array([g[c] for g in got], pa.float64()) for c in (2, 3, 4))], names=["id", "fp", "item_id", "score", "question_overlap", "answer_overlap"])
+                        ids = pa.array([idx.ids[g[1]] for g in got], pa.int64())
+                        yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("fp").take(at), ids, *(pa.array([g[c] for g in got], pa.float64()) for c in (2, 3, 4))], names=["id", "fp", "item_id", "score", "question_overlap", "answer_overlap"])
 
         part = src.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
