@@ -6,6 +6,8 @@ them carry a beta posterior of their share of good documents: a path shrinks
 towards its host, a host towards the corpus, each with a strength estimated from
 how much the sites differ beyond chance.  A document's log-odds
 are its own evidence plus the shift of its path's posterior against the corpus.
+The posteriors that move a document are those without it (path, host and corpus less its own
+evidence), so its evidence counts once and a site of one document adds what its host tells, or nothing.
 Where sites don't differ, strengths grow without bound and the shift is nothing.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows; everything else
@@ -93,7 +95,8 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-2) -> d
 
 
 def logits(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    return np.clip(np.clip((x - model["mean"]) / model["scale"], -8, 8) @ model["w"] + model["b"], -12, 12)
+    z = np.clip((x - model["mean"]) / model["scale"], -8, 8)
+    return np.clip((z * model["w"]).sum(axis=1) + model["b"], -12, 12)  # row by row the same whatever the other rows are
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]):
@@ -135,7 +138,8 @@ def _strength(groups: DataFrame, mean: Column, total: float) -> float:
 def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return per row (id, fp, host, path, p_doc, p_host, p_path, p_quality, kept).
 
-    ``host`` defaults to ``source`` and ``path`` to ``lang`` under it; nulls
+    ``p_host`` and ``p_path`` are the sites' posteriors over all their documents; ``p_quality`` uses
+    those without the document itself.  ``host`` defaults to ``source`` and ``path`` to ``lang`` under it; nulls
     are a site of their own.  A null or empty text has no evidence of its own making and
     gets the classifier's verdict on zeros.  Ids may be null or repeated: rows are judged one by one.
     Labelled ids that are missing or repeated do no harm (the lowest label counts); without
@@ -156,13 +160,20 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     whole = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     total = float(whole.n or 0)
     base = min(max((whole.s or 0.0) / total if total else 0.5, 1e-6), 1 - 1e-6)
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    k_host = _strength(hosts, F.lit(base), max(total, 1.0))
-    hosts = hosts.select("host", ((F.lit(k_host * base) + F.col("s")) / (F.lit(k_host) + F.col("n"))).alias("p_host"))
+    hosts = paths.groupBy("host").agg(F.sum("s").alias("s_host"), F.sum("n").alias("n_host"))
+    k_host = _strength(hosts.select(F.col("s_host").alias("s"), F.col("n_host").alias("n")), F.lit(base), max(total, 1.0))
     paths = paths.join(hosts, "host")
-    k_path = _strength(paths, F.col("p_host"), max(total, 1.0))
-    paths = cut(paths.select("host", "path", "p_host", ((F.lit(k_path) * F.col("p_host") + F.col("s")) / (F.lit(k_path) + F.col("n"))).alias("p_path")), "sites")
-    odds = lambda p: F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9)))
-    out = told.join(paths, ["host", "path"])
-    out = out.withColumn("p_quality", 1 / (1 + F.exp(-(F.col("logit") + odds(F.col("p_path")) - float(np.log(base / (1 - base)))))))
+    above = (F.lit(k_host * base) + F.col("s_host")) / (F.lit(k_host) + F.col("n_host"))
+    k_path = _strength(paths.select("s", "n", above.alias("p_host")), F.col("p_host"), max(total, 1.0))
+    sites = cut(paths, "sites")  # joined without a hint: of a hot site only the evidence side grows, which adaptive execution splits
+    out = told.join(sites, ["host", "path"])
+    rest = min(max((whole.s or 0.0), 0.0), total), max(total - 1, 1.0)
+    odds = lambda p: F.log(p / (1 - p))
+    inside = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    b = inside((F.lit(rest[0]) - F.col("p_doc")) / F.lit(rest[1])) if total > 1 else F.lit(base)
+    host_less = inside((F.lit(k_host) * b + F.col("s_host") - F.col("p_doc")) / (F.lit(k_host) + F.col("n_host") - 1))
+    path_less = inside((F.lit(k_path) * F.col("h") + F.col("s") - F.col("p_doc")) / (F.lit(k_path) + F.col("n") - 1))
+    out = out.withColumn("b", b).withColumn("h", host_less).withColumn("q", path_less)
+    out = out.withColumn("p_host", above).withColumn("p_path", (F.lit(k_path) * F.col("p_host") + F.col("s")) / (F.lit(k_path) + F.col("n")))
+    out = out.withColumn("p_quality", 1 / (1 + F.exp(-(F.col("logit") + odds(F.col("q")) - odds(F.col("b"))))))
     return out.select(F.col("id").alias(id_col), "fp", "host", "path", "p_doc", "p_host", "p_path", "p_quality", (F.col("p_quality") >= threshold).alias("kept"))

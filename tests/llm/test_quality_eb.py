@@ -65,6 +65,50 @@ def test_posteriors_shrink_and_move_documents(spark):
     assert got[9999].p_quality > got[9997].p_quality > got[9998].p_quality
 
 
+def strength(groups, total):
+    """Prior weight by the method of moments, over (sum, count, mean) of groups."""
+    between = sum(n * (s / n - m) ** 2 for s, n, m in groups)
+    chance = sum(m * (1 - m) for _, _, m in groups)
+    unit = sum(m * (1 - m) * n for _, n, m in groups)
+    rho = (between - chance) / max(unit - chance, 1e-12)
+    return min(Q.STRONGEST, max(1.0, 1 / rho - 1)) if rho > 1 / Q.STRONGEST else Q.STRONGEST
+
+
+def posteriors(rows):
+    """{doc_id: p_quality}, document by document, from their own evidence and that of all others."""
+    total, n = sum(r.p_doc for r in rows), len(rows)
+    base = total / n
+    group = lambda key: {k: [x for x in rows if key(x) == k] for k in {key(r) for r in rows}}
+    hosts, paths = group(lambda r: r.host), group(lambda r: (r.host, r.path))
+    k_host = strength([(sum(r.p_doc for r in v), len(v), base) for v in hosts.values()], n)
+    mean = {h: (k_host * base + sum(r.p_doc for r in v)) / (k_host + len(v)) for h, v in hosts.items()}
+    k_path = strength([(sum(r.p_doc for r in v), len(v), mean[h]) for (h, _), v in paths.items()], n)
+    odds = lambda p: np.log(p / (1 - p))
+    out = {}
+    for r in rows:
+        b = (total - r.p_doc) / (n - 1)
+        others = [x.p_doc for x in hosts[r.host] if x is not r]
+        h = (k_host * b + sum(others)) / (k_host + len(others))
+        near = [x.p_doc for x in paths[r.host, r.path] if x is not r]
+        p = (k_path * h + sum(near)) / (k_path + len(near))
+        out[r.doc_id] = 1 / (1 + np.exp(-(odds(r.p_doc) + odds(p) - odds(b))))
+    return out
+
+
+def test_against_a_plain_twin(spark):
+    docs, marks = sites(spark)
+    rows = Q.score(docs, marks).collect()
+    want = posteriors(rows)
+    assert all(abs(r.p_quality - want[r.doc_id]) < 1e-6 for r in rows)
+    assert all(r.kept == (r.p_quality >= Q.THRESHOLD) for r in rows)
+
+
+def test_a_site_of_one_document_adds_nothing_of_its_own(spark):
+    docs, marks = sites(spark)
+    got = {r.doc_id: r for r in Q.score(docs, marks).collect()}
+    assert got[9997].host == "lonely" and abs(got[9997].p_quality - got[9997].p_doc) < 1e-6
+
+
 def test_alike_sites_change_nothing(spark, make):
     rnd = random.Random(2)
     rows = [(i, "good words here and more " * rnd.randrange(1, 4) if i % 5 else "### !! ## " * rnd.randrange(1, 4)) for i in range(200)]
