@@ -9,7 +9,8 @@
    cell range by cell range.
 2. *Prefilter.*  The merged sketch, one bit a cell ("two or more"), overestimates.
    A window whose anchor is estimated unique is unique, and drops out.
-3. *Exact grouping.*  The others are grouped by a 96-bit key.  Within a
+3. *Exact grouping.*  The others are grouped by a 96-bit key, made of 64-bit hashes of their words, which
+   is as good as 64 bits where two words share a hash.  Within a
    block only the earliest occurrence of a key can be the earliest of all, so
    the later ones are settled where they are and one a block and key travels.  Each
    key's owner marks all but the earliest, and the marks are gathered by document.
@@ -50,17 +51,17 @@ def _anchors(hashes: np.ndarray, first: np.ndarray, k: int, a: int) -> tuple[np.
     if not len(at):
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, np.uint64), none, np.zeros(0, bool)
-    bits = np.uint64(max(1, int(n).bit_length()))
     grams = np.zeros(n, np.uint64)
     r, p, h = X.windows(hashes, first, a, 0)
     grams[first[r] + p] = h
-    key = ((grams >> bits) << bits) | np.arange(n, dtype=np.uint64)
-    span, low, have = k - a + 1, key.copy(), 1
-    while have < span:  # sliding minimum by doubling
+    span, low, where, have = k - a + 1, grams.copy(), np.arange(n), 1
+    while have < span:  # sliding minimum of whole hashes by doubling, the leftmost of equals
         step = min(have, span - have)
-        low[: n - step] = np.minimum(low[: n - step], low[step:])
+        less = low[step:] < low[: n - step]
+        low[: n - step][less] = low[step:][less]
+        where[: n - step][less] = where[step:][less]
         have += step
-    pos = (low[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    pos = where[at]
     new = np.ones(len(at), bool)
     new[1:] = pos[1:] != pos[:-1]
     return at, grams[pos], pos, new
