@@ -15,54 +15,55 @@ so no task orders a whole leaf.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.llm._store import cut
 
-MAX_LEAVES = 100_000
+BROADCAST_LEAVES = 100_000
 EXACT = 2048
 STEP_BITS = 10
 BITS = 60
 
 
-def divide(budget: float, children: Sequence[tuple[object, float, float]]) -> dict[object, float]:
-    """Water-filling: shares of ``budget`` for (name, weight, capacity), shortages going to the siblings."""
-    out = {name: 0.0 for name, _, _ in children}
-    left, thirsty = float(budget), [c for c in children if c[1] > 0 and c[2] > 0]
-    while thirsty and left > 0:
-        total = sum(w for _, w, _ in thirsty)
-        full = [c for c in thirsty if c[2] <= left * c[1] / total]
-        if not full:
-            for name, w, _ in thirsty:
-                out[name] = left * w / total
-            break
-        for name, _, cap in full:
-            out[name] = cap
-        left -= sum(c[2] for c in full)
-        names = {c[0] for c in full}
-        thirsty = [c for c in thirsty if c[0] not in names]
+def _weight(weights: Mapping[tuple, float], names: list[str]) -> Column:
+    """A child's weight: by its path, then by (depth, name), else 1."""
+    depth = len(names) - 1
+    paths = {k: float(v) for k, v in weights.items() if len(k) == len(names) and all(isinstance(x, str) for x in k)}
+    plain = {k[1]: float(v) for k, v in weights.items() if len(k) == 2 and not isinstance(k[0], str) and k[0] == depth}
+    out = F.lit(1.0)
+    for table, key in ((plain, F.col(names[-1])), (paths, F.array(*names))):
+        if table:
+            pairs = [(F.lit(k) if isinstance(k, str) else F.array(*map(F.lit, k)), F.lit(v)) for k, v in table.items()]
+            out = F.coalesce(F.try_element_at(F.create_map(*(x for kv in pairs for x in kv)), key), out)
     return out
 
 
-def allocate(leaves: Mapping[tuple, int], weights: Mapping[tuple, float], budget: int, epochs: int) -> dict[tuple, int]:
-    """Whole tokens for each leaf path.  A weight is looked up by path, then by (depth, name), else it is 1."""
-    capacity: dict[tuple, float] = defaultdict(float)
-    children: dict[tuple, set] = defaultdict(set)
-    for path, tokens in leaves.items():
-        for d in range(len(path) + 1):
-            capacity[path[:d]] += epochs * tokens
-            if d:
-                children[path[: d - 1]].add(path[:d])
-    given = {(): min(float(budget), capacity[()])}
-    for depth in range(max(map(len, leaves), default=0)):
-        for node in [n for n in given if len(n) == depth]:
-            kids = sorted(children[node], key=str)
-            given |= divide(given[node], [(k, float(weights.get(k, weights.get((depth, k[-1]), 1.0))), capacity[k]) for k in kids])
-    return {path: min(int(given.get(path, 0.0) + 1e-6), epochs * tokens) for path, tokens in leaves.items()}
+def allocate(leaves: DataFrame, names: list[str], weights: Mapping[tuple, float], budget: float) -> DataFrame:
+    """(names, given) for leaves (names, cap): a budget divided level by level.
+
+    Within a family the children stand in the order of capacity for weight.  A child is full if what the smaller
+    ones leave, divided by weight, is more than it can take; the others share what the full ones leave.
+    Children without weight or capacity get nothing.
+    """
+    given = None
+    for d in range(1, len(names) + 1):
+        path, up = names[:d], names[: d - 1]
+        kids = leaves.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(weights, path))
+        kids = kids.withColumn("budget", F.lit(float(budget))) if given is None else kids.join(given.withColumnRenamed("given", "budget"), up)
+        thirsty = (F.col("w") > 0) & (F.col("cap") > 0)
+        kids = kids.withColumn("dry", ~thirsty).withColumn("ratio", F.when(thirsty, F.col("cap") / F.col("w")))
+        family = Window.partitionBy("dry", *up)
+        order = family.orderBy("ratio", names[d - 1])
+        before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        onward = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+        kids = kids.withColumn("full", F.col("ratio") <= (F.col("budget") - before) / onward)
+        rest = F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(family), F.lit(0.0))
+        share = F.col("w") * rest / F.sum(F.when(~F.col("full"), F.col("w"))).over(family)
+        given = kids.select(*path, F.when(F.col("dry"), 0.0).when(F.col("full"), F.col("cap")).otherwise(F.greatest(share, F.lit(0.0))).alias("given"))
+    return given
 
 
 def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, float], budget: float, epochs: int = 1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,9 +73,9 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, f
     words.  A null or empty text has none and comes with its leaf's whole epochs
     and with prefixes that reach it.  A null level is a node of its own, named by the empty
     string.  Repeated rows are counted, and taken or left, together; rows
-    that tie in the order are told apart by id and text.  ``fp`` is a hash of
-    the text.  An empty table gives no rows.  The leaves are divided on the
-    driver: more than ``MAX_LEAVES`` of them raise a ValueError.
+    that tie in the order are told apart by id and text, rows without an id by their text.  ``fp`` is a hash of
+    the text.  An empty table gives no rows.  Any number of leaves is divided by grouped sums and windows over
+    families, which hold a row a child; the plan is broadcast up to ``BROADCAST_LEAVES`` leaves and joined beyond.
     """
     names = list(levels)
     src = docs.select(
@@ -82,32 +83,27 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, f
         *(F.coalesce(levels[n].cast("string"), F.lit("")).alias(n) for n in names),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("n_tokens"),
     )
-    spark = docs.sparkSession
     rows = cut(src.groupBy("id", "fp", *names, "n_tokens").agg(F.count(F.lit(1)).alias("copies")), "rows")
-    stats = rows.groupBy(*names).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
-    found = stats.limit(MAX_LEAVES + 1).collect()
-    if len(found) > MAX_LEAVES:
-        raise ValueError(f"the tree has more than {MAX_LEAVES} leaves")
-    leaves = {tuple(r[n] for n in names): r.tokens for r in found}
-    total = sum(leaves.values())
-    given = allocate(leaves, weights, int(budget * total) if budget <= 1 else int(budget), epochs)
-    plan = []
-    for path, tokens in leaves.items():
-        whole = given[path] // tokens if tokens else epochs
-        plan.append((*path, given[path], int(whole), given[path] - whole * tokens))
-    schema = ", ".join(f"{n} string" for n in names) + ", leaf_budget long, whole int, rest long"
-    plans = spark.createDataFrame(plan, schema)
-    rows = rows.join(F.broadcast(plans), names)
+    leaves = cut(rows.groupBy(*names).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens")), "leaves")
+    count, total = leaves.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    total = total or 0
+    wanted = min(float(int(budget * total) if budget <= 1 else int(budget)), float(epochs * total))
+    given = allocate(leaves.select(*names, (F.lit(float(epochs)) * F.col("tokens")).alias("cap")), names, weights, wanted)
+    plans = leaves.join(given, names).withColumn("leaf_budget", F.least(F.floor(F.col("given") + 1e-6), F.col("tokens") * epochs))
+    plans = plans.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("leaf_budget") / F.col("tokens"))).otherwise(epochs).cast("int"))
+    plans = cut(plans.select(*names, "leaf_budget", "whole", (F.col("leaf_budget") - F.col("whole") * F.col("tokens")).alias("rest")), "plan")
+    side: Callable[[DataFrame], DataFrame] = F.broadcast if count <= BROADCAST_LEAVES else lambda x: x
+    rows = rows.join(side(plans), names)
     keep = ["id", "fp", *names, "n_tokens", "leaf_budget", "copies"]
     taken = rows.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select(*keep, "epoch")
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("id").cast("string"))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null:"), F.col("fp").cast("string"))))
     part = rows.filter("rest > 0").withColumn("order", F.conv(F.substring(F.sha2(key, 256), 1, BITS // 4), 16, 10).cast("long"))
-    prefix = _prefix(part, names).select(*keep, F.col("whole").alias("epoch"))
+    prefix = _prefix(part, names, side).select(*keep, F.col("whole").alias("epoch"))
     out = taken.unionByName(prefix).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select(F.col("id").alias(id_col), "fp", *names, "epoch", "n_tokens", "leaf_budget")
 
 
-def _prefix(part: DataFrame, names: list[str]) -> DataFrame:
+def _prefix(part: DataFrame, names: list[str], side: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows whose tokens, summed in ``order`` over their leaf, stay within ``rest``."""
     leaf = Window.partitionBy(*names)
     weight = F.col("n_tokens") * F.col("copies")
@@ -117,7 +113,7 @@ def _prefix(part: DataFrame, names: list[str]) -> DataFrame:
         bucket = F.shiftright("order", shift)
         inside = part
         if edge is not None:  # only the range in which each leaf's prefix ends is counted more finely
-            inside = part.join(F.broadcast(edge.select(*names, "bucket", "before")), names).filter(F.shiftright("order", shift + STEP_BITS) == F.col("bucket")).drop("bucket")
+            inside = part.join(side(edge.select(*names, "bucket", "before")), names).filter(F.shiftright("order", shift + STEP_BITS) == F.col("bucket")).drop("bucket")
         else:
             inside = part.withColumn("before", F.lit(0).cast("long"))
         sums = inside.groupBy(*names, "rest", "before", bucket.alias("bucket")).agg(F.sum(weight).alias("tokens"), F.count(F.lit(1)).alias("n"))
@@ -126,7 +122,7 @@ def _prefix(part: DataFrame, names: list[str]) -> DataFrame:
         edge = cut(over.groupBy(*names).agg(F.min(F.struct("bucket", F.expr("upto - tokens"), "n")).alias("e")).select(*names, F.col("e.bucket").alias("bucket"), F.col("e.col2").alias("before"), F.col("e.n").alias("n")), "edge")
         if (edge.agg(F.max("n")).first()[0] or 0) <= EXACT:
             break
-    at = part.join(F.broadcast(edge.select(*names, "bucket", "before")), names, "left").withColumn("own", F.shiftright("order", shift))
+    at = part.join(side(edge.select(*names, "bucket", "before")), names, "left").withColumn("own", F.shiftright("order", shift))
     clear = at.filter(F.col("bucket").isNull() | (F.col("own") < F.col("bucket")))
     close = at.filter(F.col("own") == F.col("bucket"))
     run = F.sum(weight).over(leaf.orderBy("order", "id", "fp").rowsBetween(Window.unboundedPreceding, 0))
