@@ -11,7 +11,10 @@ crosses a whole document and no document depends on the others of its batch.  Co
 are added.  Edges grow with the number of suspect tokens, never with its square.
 
 The weights are fitted by likelihood gradients, with the same message passing,
-on a bounded sample of documents whose labels are the base spans.
+on a bounded sample of documents.  Labels come from the base spans; from context: long mixed
+tokens behind a word such as ``token`` or ``key`` are secrets (the word is no feature, so secrets are found
+without it too); and from copies of the sample in which addresses and card numbers are written in
+forms that the patterns don't match.  So the field adds secrets and such forms.
 """
 
 from __future__ import annotations
@@ -34,7 +37,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-LABELS = 1 + len(KINDS)
+ALL_KINDS = (*KINDS, "secret")
+SECRET = len(KINDS)
+LABELS = 1 + len(ALL_KINDS)
+#: Words before a secret.
+_CONTEXT = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|key|auth|bearer|credential)s?[\"']?\s*(?:=>|:=|[=:])?\s*[\"']?\Z")
+LEAST_SECRET = 16
 SAMPLE_DOCS = 600
 LONGEST_SAMPLE = 20_000  # bytes of a sampled text
 ROUNDS = 60  # and two for each suspect token: in so many rounds the largest change halves, or the step does
@@ -42,7 +50,6 @@ DAMPING = 0.3
 TOLERANCE = 1e-7  # largest change of a log message that stands still
 LEAST_STEP = 1e-3  # messages that circle even at this step are taken as they are
 CONFIDENCE = 0.9
-_SUSPECT = re.compile(r"[^\s]*[0-9@][^\s]*")
 _LOCAL_SET = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
@@ -120,10 +127,14 @@ def _features(token: str) -> list[int]:
     for k, hit in enumerate(("@" in token, token.startswith("+"), "(" in token, "-" in token, letters == 0, digits > letters, any(c in "#$%&*" for c in token), "@" in token and "." in token.partition("@")[2])):
         if hit:
             on.append(25 + k)
+    kinds = ["9" if "0" <= c <= "9" else "a" for c in token if c.isalnum()]
+    on.append(33 + min(4, sum(a != b for a, b in zip(kinds, kinds[1:])) // 3))  # how often letters and digits change places
+    if "[" in token:
+        on.append(38)
     return on
 
 
-FEATURES = 33
+FEATURES = 39
 
 
 def _key(kind: str, text: str) -> str:
@@ -222,12 +233,45 @@ def marginals(weights: dict[str, np.ndarray], graph: Graph):
     return np.exp(_norm(belief)) if n else belief, pairs
 
 
+def context_secrets(text: str) -> list[tuple[int, int, int]]:
+    """Long tokens of letters and digits behind a word that announces a secret."""
+    out = []
+    for s, e in suspects(text):
+        a, z = _core(text, s, e)
+        core = text[a:z]
+        if len(core) >= LEAST_SECRET and core.replace("-", "").replace("_", "").isalnum() and any(c.isalpha() for c in core) and any(c.isdigit() for c in core) and _CONTEXT.search(text, max(0, a - 40), a):
+            out.append((a, SECRET, z))
+    return out
+
+
+def disguised(text: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with its IP addresses and card numbers in forms that the patterns don't match, and all labels."""
+    out, spans, at, size = [], [], 0, 0
+    for s, k, e in sorted(base_spans(text) + context_secrets(text)):
+        if s < at:
+            continue
+        piece = text[s:e]
+        if k == 1:
+            piece = piece.replace(".", "[.]")
+        elif k == 2:
+            d = re.sub("[^0-9]", "", piece)
+            piece = ".".join(d[i : i + 4] for i in range(0, len(d), 4))
+        out += [text[at:s], piece]
+        size += s - at
+        spans.append((size, k, size + len(piece)))
+        size, at = size + len(piece), e
+    return "".join([*out, text[at:]]), spans
+
+
 def fit(texts: list[str], steps: int = 120, rate: float = 0.5, decay: float = 1e-3) -> dict[str, np.ndarray]:
-    """Weights that maximise the likelihood of the base spans' labels, by gradient ascent."""
+    """Weights that maximise the likelihood of the sample's labels, by gradient ascent."""
     graph = Graph()
-    for d, text in enumerate(texts):
-        graph.add(d, text)
-    by_doc: dict[int, list] = {d: base_spans(t) for d, t in enumerate(texts)}
+    by_doc: list[list[tuple[int, int, int]]] = []
+    for text in texts:
+        other, spans = disguised(text)
+        for t, labels in ((text, base_spans(text) + context_secrets(text)), *([(other, spans)] if other != text else [])):
+            graph.add(len(by_doc), t)
+            by_doc.append(labels)
     gold = np.zeros(len(graph.spans), np.int64)
     for i, (d, s, e) in enumerate(graph.spans):
         gold[i] = next((1 + k for a, k, z in by_doc[d] if a < e and s < z), 0)
@@ -282,7 +326,7 @@ def label_batch(weights: dict[str, np.ndarray], texts: list[str]) -> list[tuple[
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
 BLOCK_CHARS = 2_000_000
@@ -291,7 +335,8 @@ BLOCK_CHARS = 2_000_000
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Return per row (id, n_email, n_ip, n_card, n_phone, base_sha256, spans).
 
-    Counts and digest are those of the base spans; ``spans`` has all of them.
+    Counts and digest are those of the base spans; ``spans`` has all of them, with added ones of the
+    base kinds and of the kind ``secret``.
     Offsets are code points, ends exclusive.  A null text counts as empty; an
     empty text, or one without suspect tokens, has no spans and the digest of
     the empty string.  Rows are independent: repeated ids and null ids give one

@@ -87,7 +87,7 @@ def test_held_out_accuracy(small):
         g = P.Graph()
         g.add(0, t)
         p, _ = P.marginals(w, g)
-        gold = [next((1 + k for a, k, z in P.base_spans(t) if a < e and s < z), 0) for _, s, e in g.spans]
+        gold = [next((1 + k for a, k, z in P.base_spans(t) + P.context_secrets(t) if a < e and s < z), 0) for _, s, e in g.spans]
         hits += int((p.argmax(axis=1) == gold).sum())
         total += len(gold)
     assert total > 40 and hits / total > 0.95
@@ -130,7 +130,7 @@ def test_production_settings_reach_every_occurrence():
             g.rows, g.cols = [*g.rows, 0], [*g.cols, 32]
         return P.marginals(w, g)[0][-1, 1]
 
-    assert abs(last(30, False) - 0.2) < 1e-6 and last(30, True) > 0.3
+    assert abs(last(30, False) - 1 / P.LABELS) < 1e-6 and last(30, True) > 0.3
 
 
 def test_messages_that_circle_come_to_an_end():
@@ -161,3 +161,42 @@ def test_long_tokens_are_judged_whole():
     g.add(0, "7" + "a" * 300 + " word " + "7" + "a" * 300 + "-9@")
     assert not len(g.arrays()[1][1])
     assert 25 in g.cols and 28 in g.cols
+
+
+def documents():
+    import duckdb
+
+    return [t for (t,) in duckdb.connect().sql("select text from '/root/testdata/sf0.1/documents.parquet' where text is not null order by doc_id").fetchall()]
+
+
+def test_secrets_and_other_forms_are_added_and_clean_documents_left_alone():
+    """Held out: fitted on every second document with suspects, judged on the others, the announcing words cut away too."""
+    docs = documents()
+    some = [t for t in docs if P.suspects(t) and len(t) < P.LONGEST_SAMPLE]
+    w = P.fit(some[: 2 * P.SAMPLE_DOCS : 2])
+    rest = [t for t in some[1::2]]
+    clean = [t for t in docs if not P.base_spans(t) and not P.context_secrets(t)]
+    assert len(clean) > 5000
+    wrong = sum(len(spans) > 0 for i in range(0, len(clean), 500) for _, spans in P.label_batch(w, clean[i : i + 500]))
+    assert wrong / len(clean) < 0.002
+    caught = total = 0
+    for t in (x for t in rest for x in (t, t.replace("token = ", ""))):
+        secrets = P.context_secrets(t) if "token" in t else [(t.index(c), P.SECRET, t.index(c) + 40) for c in set(P.re.findall("[0-9a-f]{40}", t))]
+        if secrets:
+            (_, spans), = P.label_batch(w, [t])
+            total += len(secrets)
+            caught += sum((s, k, e) in spans for s, k, e in secrets)
+    assert total > 20 and caught / total > 0.95
+    rnd = random.Random(1)
+    forms = [f"word word {'.'.join(str(rnd.randrange(1, 255)) for _ in range(4)).replace('.', '[.]')} word" for _ in range(50)]
+    assert sum(any(k == 1 for _, k, _ in spans) for _, spans in P.label_batch(w, forms)) > 45
+
+
+def test_context_and_disguise():
+    t = 'my API_KEY: "abc123def456ghi789" at 10.0.0.1 and token zz'
+    (s, k, e), = P.context_secrets(t)
+    assert (k, t[s:e]) == (P.SECRET, "abc123def456ghi789")
+    other, spans = P.disguised(t)
+    assert [other[a:z] for a, _, z in spans] == ["abc123def456ghi789", "10[.]0[.]0[.]1"]
+    assert P.base_spans(other) == []
+    assert P.context_secrets("tokens are 12 and abc123def456ghi789") == []
