@@ -37,7 +37,7 @@ def _mixing(budget: float, epochs: int, seed: int) -> str:
         WITH d AS (
             SELECT doc_id, 'domain' || CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN ''
                      ELSE CAST(CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INTEGER) % 4 AS VARCHAR) END AS domain,
-                   coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens
+                   coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
             FROM documents),
         leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST(sum(n_tokens) * {epochs} AS DOUBLE) AS cap FROM d GROUP BY ALL),
         l0 AS (SELECT least(floor(CAST({budget} AS DOUBLE) * sum(tokens)), sum(cap)) AS given FROM leaf),{top},{mid},{low},
@@ -55,7 +55,13 @@ _SAID = "\\### Assistant: </turn> ok"
 ORACLE = {
     # the last entry of a key on or before the day decides; suffixes and prefixes are matched as strings
     "op1_url_filter": f"""
-        WITH entries(list, kind, key, day, action) AS (VALUES {_entries()}),
+        WITH listed(list, kind, given, day, action) AS (VALUES {_entries()}),
+        entries AS (
+            SELECT list, kind, day, action, CASE kind WHEN 'domain' THEN lower(given)
+                WHEN 'path' THEN lower(split_part(given, '/', 1)) || substr(rtrim(given, '/'), length(split_part(given, '/', 1)) + 1)
+                ELSE lower(regexp_extract(given, '^[^/]*//[^/]*', 0)) || regexp_replace(given, '^[^/]*//[^/]*', '') END AS whole,
+                regexp_replace(whole, '^(https://[^/]*):443', '\\1') AS key
+            FROM listed),
         pages_at AS (
             SELECT DISTINCT page_id, url, DATE '2024-01-01' + CAST((page_id * 7) % 366 AS INTEGER) AS fetched,
                    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,

@@ -17,15 +17,15 @@ LIST_ENTRIES = [
     ("spam", "domain", "tionsh.example.net", "2024-02-01", "add"),
     ("spam", "domain", "tionsh.example.net", "2024-05-01", "remove"),
     ("spam", "domain", "tionsh.example.net", "2024-09-15", "add"),
-    ("spam", "domain", "example.org", "2024-03-10", "add"),
+    ("spam", "domain", "Example.ORG", "2024-03-10", "add"),
     ("spam", "domain", "example.org", "2024-03-20", "remove"),
     ("adult", "domain", "blog.tionble.example.com", "2023-06-01", "add"),
     ("adult", "domain", "blog.ththth.example.org", "2024-07-01", "add"),
     ("adult", "domain", "blog.ththth.example.org", "2024-07-01", "remove"),
     ("legal", "path", "m.tiontion.example.com/fr", "2024-01-15", "add"),
     ("legal", "path", "m.tiontion.example.com/fr", "2024-11-15", "remove"),
-    ("legal", "path", "www.thering.example.org/de", "2024-04-01", "add"),
-    ("legal", "url", "https://therha.example.net/en/35332/", "2024-01-01", "add"),
+    ("legal", "path", "WWW.thering.example.org/de/", "2024-04-01", "add"),
+    ("legal", "url", "https://TherHa.example.net:443/en/35332/", "2024-01-01", "add"),
 ]
 
 
@@ -33,7 +33,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures carry no time, so a page is fetched on the day 7 * page_id modulo 366 of 2024."""
     from stridelake.llm.url_filter import filter_urls
 
-    entries = spark.createDataFrame(LIST_ENTRIES, "list string, kind string, key string, day string, action string")
+    values = ", ".join("(" + ", ".join(f"'{x}'" for x in e) + ")" for e in LIST_ENTRIES)
+    entries = spark.sql(f"SELECT * FROM VALUES {values} AS t(list, kind, key, day, action)")
     day = F.expr("date_add(DATE'2024-01-01', cast(pmod(page_id * 7, 366) as int))")
     out = filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), entries, fetched=day)
     return out.withColumn("fetched", F.date_format("fetched", "yyyy-MM-dd"))
@@ -78,17 +79,22 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation are a tree without branches: each replies to the turn before it."""
+    """Turns of a conversation are a tree without branches: each replies to the row before it.
+
+    Rows are numbered by turn (null first), role and text, so rows that repeat or tie all take part.
+    """
     from pyspark.sql import Window
 
     from stridelake.llm.chat_tree import format_chats, read_loss, read_turns
 
     said = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pair = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role")))).alias("x")
+    extra = spark.range(1).select(pair).select(F.lit(-7).cast("long").alias("conv_id"), F.col("x.turn").cast("long").alias("turn"), "x.role", F.lit(said).alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    rows = rows.withColumn("node", number)
     score = F.when(F.col("role") == "assistant", F.char_length("text")).otherwise(0)
-    tree = rows.select(F.col("conv_id").alias("tree"), F.col("turn").alias("node"), before.alias("parent"), "role", "text", score.alias("score"))
+    tree = rows.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", score.alias("score"))
     out = format_chats(tree)
     turns = F.transform(read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = read_loss(F.col("formatted"), F.col("loss_mask"))

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from stridelake.llm.url_filter import filter_urls, intervals, keys_of
+from stridelake.llm.url_filter import filter_urls, intervals, keys_of, plain_key, plain_url
 
 ENTRY = "list string, kind string, key string, day string, action string"
 
@@ -19,8 +19,29 @@ def test_intervals_from_dated_entries(spark):
 
 
 def test_keys(spark):
-    got = spark.sql("select 'https://u@A.B.org:80/p//q?x#y' as url").select(keys_of(F.col("url"))).first()[0]
-    assert [(k.kind, k.key) for k in got] == [("url", "https://u@A.B.org:80/p//q?x#y"), ("domain", "a.b.org"), ("domain", "b.org"), ("domain", "org"), ("path", "a.b.org/p"), ("path", "a.b.org/p/q")]
+    nums = lambda *n: F.array(*map(F.lit, n))
+    got = spark.sql("select 'https://u@A.B.org:80/p//q?x#y' as url").select(keys_of(F.col("url"), nums(1, 2, 3, 9), nums(1, 2, 7))).first()[0]
+    assert [(k.kind, k.key) for k in got] == [("url", "https://a.b.org:80/p//q?x"), ("domain", "org"), ("domain", "b.org"), ("domain", "a.b.org"), ("path", "a.b.org/p"), ("path", "a.b.org/p/q")]
+    few = spark.sql("select concat('http://h.org/', repeat('z/', 100000)) as url").select(keys_of(F.col("url"), nums(2), nums(1))).first()[0]
+    assert [k.key for k in few][1:] == ["h.org", "h.org/z"]
+
+
+def test_plain_forms(spark):
+    urls = {"HTTP://Ex.ORG": "http://ex.org/", "https://u:p@ex.org:443/A?b#c": "https://ex.org/A?b", "http://ex.org:8080/": "http://ex.org:8080/", "http://[2001:DB8::1]:80/x": "http://[2001:db8::1]/x", "no url": "no url", "": ""}
+    df = spark.createDataFrame(list(urls.items()), "url string, want string")
+    assert [r for r in df.select(plain_url(F.col("url")).alias("got"), "want").collect() if r.got != r.want] == []
+    keys = {("domain", "Example.ORG."): "example.org", ("path", "A.com:80/x/"): "a.com/x", ("path", "https://a.com//x/Y?q"): "a.com/x/Y", ("domain", "[2001:DB8::1]"): "[2001:db8::1]", ("url", "HTTP://A.com"): "http://a.com/"}
+    df = spark.createDataFrame([(*k, v) for k, v in keys.items()], "kind string, key string, want string")
+    assert [r for r in df.select(plain_key(F.col("kind"), F.col("key")).alias("got"), "want").collect() if r.got != r.want] == []
+
+
+def test_keys_of_another_form_match(spark):
+    rows = [("l", "domain", "Example.ORG", "2024-01-01", "add"), ("l", "path", "A.com/x/", "2024-01-01", "add"), ("l", "url", "HTTPS://B.com:443", "2024-01-01", "add"), ("l", "domain", "[2001:DB8::1]", "2024-01-01", "add")]
+    day = dt.date(2024, 1, 15)
+    pages = [(i, u, day, None, None, None, None) for i, u in enumerate(["http://www.example.org/", "http://a.com/x/y", "http://a.com/xy", "https://b.com/", "http://[2001:db8::1]:8080/z", "http://[2001:db8::2]/z", "http://EXAMPLE.org:80"])]
+    assert sorted(k[0] for k, v in run(spark, pages, rows).items() if v[2]) == [0, 1, 3, 4, 6]
+    twice = [*rows, ("l", "domain", "example.org", "2024-01-01", "add")]
+    assert run(spark, pages, twice) == run(spark, pages, rows) == run(spark, pages, twice, broadcast_bytes=0)
 
 
 def run(spark, pages, rows, **kw):
@@ -55,7 +76,7 @@ def test_entries_in_force_at_the_fetch(spark):
 
 
 def test_long_lists_are_joined_with_salts(spark):
-    assert run(spark, PAGES, LIST, broadcast_rows=0) == run(spark, PAGES, LIST)
+    assert run(spark, PAGES, LIST, broadcast_bytes=0) == run(spark, PAGES, LIST)
 
 
 def test_empty(spark):
