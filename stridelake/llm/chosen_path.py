@@ -53,6 +53,7 @@ BLOCK_ROWS = 768
 COLUMNS = 4096
 BLOCK_BYTES = 2 << 20
 FILE_ROWS = 50_000  # of the tables of links
+BROADCAST_ENDS = 200_000  # classes of 16 bytes
 #: Agreeing tokens of 64 below which a pair isn't confirmed; at a similarity of 0.8 fewer come with a chance of 3e-6.
 AGREE_AT_80 = 36
 
@@ -207,6 +208,12 @@ def _promising(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return pairs.join(sig, "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Texts of the classes in pairs (a, b), b possibly null; the others' texts needn't move."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).filter("c is not null").distinct()
+    return texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_ENDS else ends, "c", "left_semi")
+
+
 def _similar(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
     both = len(x) + len(y) - len(np.union1d(x, y))
     return 100 * both >= pct * (len(x) + len(y) - both)
@@ -439,7 +446,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similarity_pct: int = 80, id_co
     classes = cut(classes, "classes")
     texts = classes.select("c", "text")
     first = cut(_promising(_stars(classes), classes, least), "stars")
-    links = cut(_confirmed(first, texts, k, similarity_pct), "links")
+    links = cut(_confirmed(first, _texts_of(texts, first), k, similarity_pct), "links")
     state = components(links)
     placed = cut(classes.select("c", "label", "n", "sig").join(state, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "placed")
     named = placed.select("c", "label", "comp")
@@ -447,11 +454,15 @@ def near_duplicates(docs: DataFrame, k: int = 4, similarity_pct: int = 80, id_co
     if nodes is not None:
         more = cut(_residual(nodes, placed, least), "residual")
         sparse = more.filter("block is null").select("a", "b", "ca", "cb").distinct().join(first, ["a", "b"], "left_anti")
+        texts = _texts_of(texts, more)
         found = _confirmed(sparse, texts, k, similarity_pct, ("ca", "cb")).unionByName(_confirmed_blocks(more.filter("block is not null"), texts, k, similarity_pct))
         links = cut(found.distinct().toDF("a", "b"), "links")
+        drop(more)
         if not links.isEmpty():
             joined = components(links).toDF("comp", "to")
             named = named.join(joined, "comp", "left").select("c", "label", F.coalesce("to", "comp").alias("comp"))
+    for table in (classes, first):  # what follows doesn't read them
+        drop(table)
     lowest = named.groupBy("comp").agg(F.min("label").alias("component_id"))
     named = named.join(lowest, "comp").select("c", "component_id")
     out = rows.select("id", "fp", "n", "c").join(named, "c", "left")

@@ -54,6 +54,8 @@ def test_a_large_group_in_small_nodes(make, monkeypatch, depth, shingles, dense)
     want = brute.near(rows)
     assert len({v[1] for v in want.values()}) > 22
     assert run(make(rows)) == want
+    monkeypatch.setattr(C, "BROADCAST_ENDS", 0)
+    assert run(make(rows[:60])) == brute.near(rows[:60])
 
 
 def test_groups_are_bounded(monkeypatch):
