@@ -162,3 +162,23 @@ def boundary_ok(grid: Column) -> Column:
     solid = lambda line: F.forall(line, lambda v: v == 1)
     ends = F.forall(grid, lambda line: (F.element_at(line, 1) == 1) & (F.element_at(line, -1) == 1))
     return (n >= 3) & same & solid(first) & solid(F.element_at(grid, -1)) & ends
+
+
+#: Versions of wall sensing, the default one, and the default threshold of a boundary's risk.
+SENSING_VERSIONS = ("v1", "v2", "v3", "v4", "v5")
+DEFAULT_SENSING = "v3"
+DEFAULT_RISK = 0.10
+
+
+def sensing_version(value: Column) -> Column:
+    """The version in lower case without blanks around it; null is the default, another value an error."""
+    v = F.lower(F.trim(value))
+    wrong = F.raise_error(F.concat(F.lit("not a version of wall sensing: "), value)).cast("string")
+    return F.when(value.isNull(), F.lit(DEFAULT_SENSING)).when(v.isin(*SENSING_VERSIONS), v).otherwise(wrong)
+
+
+def risk_threshold(value: Column) -> Column:
+    """A finite threshold of at least 0; null is the default, another value an error."""
+    t = value.cast("double")
+    fine = (t >= 0) & ~F.isnan(t) & (t < float("inf"))
+    return F.when(value.isNull(), F.lit(DEFAULT_RISK)).when(fine, t).otherwise(F.raise_error(F.lit("a threshold is finite and at least 0")).cast("double"))

@@ -14,6 +14,7 @@ from stridelake.operators import grid as GR
 from stridelake.operators import metrics as M
 from stridelake.operators import ordered as O
 from stridelake.operators import selection as S
+from stridelake.operators import tasks as K
 from stridelake.plans.registry import query
 from stridelake.sources.tables import GRID_SQL, POSITIONS_SQL, RESULTS_SQL, STEPS_SQL, actions, episode_results, grid, positions, steps, table
 
@@ -284,3 +285,40 @@ def stm3_latest_of_log(spark: SparkSession, sf: str) -> DataFrame:
     from stridelake.streaming.logs import latest
 
     return latest(table(spark, sf, "events"), "user_id", "event_id", "value")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'v3' ELSE 'v' || (p_partkey % 5 + 1) END AS version,
+    CASE WHEN p_partkey % 3 = 0 THEN CAST(0.1 AS DOUBLE) ELSE p_size / 100.0::DOUBLE END AS threshold FROM part""")
+def sc8_sensing_config(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings of sensing as they are written by hand, resolved to one form with defaults."""
+    p = table(spark, sf, "part")
+    given = F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit(" V"), (F.col("p_partkey") % 5 + 1).cast("string"), F.lit(" ")))
+    risk = F.when(F.col("p_partkey") % 3 != 0, F.col("p_size") / 100.0)
+    return p.select("p_partkey", G.sensing_version(given).alias("version"), G.risk_threshold(risk).alias("threshold"))
+
+
+@query(f"""WITH {RESULTS_SQL} SELECT episode_idx AS index,
+    CASE WHEN episode_idx % 11 = 0 THEN 3 WHEN episode_idx % 3 = 0 THEN 2 ELSE 1 END AS attempts, episode_idx % 11 <> 0 AS completed,
+    CASE WHEN episode_idx % 11 = 0 THEN 0.0 ELSE ret END AS ret FROM results""")
+def stm1_task_retry(spark: SparkSession, sf: str) -> DataFrame:
+    """Episodes as tasks: every third fails its first attempt, every eleventh all three."""
+
+    def work(row: dict, attempt: int) -> float:
+        if row["episode_idx"] % 11 == 0 or (row["episode_idx"] % 3 == 0 and attempt == 0):
+            raise RuntimeError("worker lost")
+        return row["ret"]
+
+    return K.run_tasks(episode_results(spark, sf).select("episode_idx", "ret"), work, "episode_idx").select("index", "attempts", "completed", "ret")
+
+
+@query("""SELECT event_id, value * 2 + 1 AS response, true AS small FROM events""")
+def stm2_answered_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests answered by a policy in batches of up to 64."""
+    out = K.answer_in_batches(table(spark, sf, "events").select("event_id", "value"), lambda part: part["value"] * 2 + 1, "event_id")
+    return out.select("event_id", "response", (F.col("batch_size") <= 64).alias("small"))
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS state, count(*) AS reports, count(*) FILTER (event_type = 'purchase') AS done FROM events GROUP BY user_id""")
+def stm4_latest_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest state of each worker; what a monitor shows."""
+    return K.snapshots(table(spark, sf, "events"), "user_id", ["event_id"], "event_type", "purchase")

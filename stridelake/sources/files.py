@@ -113,6 +113,35 @@ except ImportError:  # HDF5 input is optional
     h5py = None
 
 
+def read_tree(node: Any) -> Any:
+    """Groups as mappings to any depth, datasets as lists or numbers."""
+    if hasattr(node, "keys"):
+        return {k: read_tree(node[k]) for k in sorted(node.keys())}
+    value = node[()]
+    return value.tolist() if hasattr(value, "tolist") else value.decode() if isinstance(value, bytes) else value
+
+
+def hdf5_trees(spark: SparkSession, files: Sequence[str], schema: str) -> DataFrame:
+    """(path, episode_idx, tree): every episode's whole group, nested as ``schema`` says; needs h5py on the executors."""
+    if h5py is None:
+        raise ImportError("reading HDF5 needs h5py; convert the files to Parquet instead")
+
+    def run(batches: Iterator) -> Iterator:
+        import json
+
+        import pandas as pd
+
+        for b in batches:
+            for path in b["path"]:
+                with h5py.File(path) as f:
+                    for k in sorted((k for k in f if k.startswith("episode_")), key=lambda k: int(k.rsplit("_", 1)[1])):
+                        yield pd.DataFrame([(path, int(k.rsplit("_", 1)[1]), json.dumps(read_tree(f[k])))], columns=["path", "episode_idx", "tree"])
+
+    names = spark.createDataFrame([(p,) for p in files], "path string").repartition(max(1, len(files)))
+    rows = names.mapInPandas(run, "path string, episode_idx int, tree string")
+    return rows.withColumn("tree", F.from_json("tree", schema))
+
+
 def hdf5_episodes(spark: SparkSession, files: Sequence[str], variant: str) -> DataFrame:
     """Episodes of HDF5 files in the order of their numbers, one task a file; needs h5py on the executors."""
     if h5py is None:
