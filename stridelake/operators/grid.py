@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections import deque
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -414,18 +414,24 @@ def random_layout(seed: int, rows: int, cols: int, free_share: float, loop_share
     return grid
 
 
-def best_layout(seeds: Iterable[int], rows: int, cols: int, free_share: float, loop_share: float, wanted: Mapping[str, tuple[float, float]]) -> tuple[int, float]:
-    """The seed whose layout's metrics lie least outside the wanted ranges, and its penalty; the first of equals."""
-    best: tuple[float, int] | None = None
-    for s in seeds:
-        grid = random_layout(s, rows, cols, free_share, loop_share)
+def layout_penalties(seeds: DataFrame, rows: int, cols: int, free_share: float, loop_share: float, wanted: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """(seed, penalty): how far the metrics of each seed's layout lie outside the wanted ranges, in widths of these."""
+
+    def penalty(seed: int) -> float:
+        grid = random_layout(seed, rows, cols, free_share, loop_share)
         m = metrics(Graph((r, c) for r, line in enumerate(grid) for c, v in enumerate(line) if v == 0), rows, cols)
-        p = sum(max(lo - m[k], m[k] - hi, 0) / max(hi - lo, 1e-9) for k, (lo, hi) in wanted.items())
-        if best is None or p < best[0]:
-            best = (p, s)
-    if best is None:
-        raise ValueError("no candidates")
-    return best[1], best[0]
+        return float(sum(max(lo - m[k], m[k] - hi, 0) / max(hi - lo, 1e-9) for k, (lo, hi) in wanted.items()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"seed": b["seed"].astype("int64"), "penalty": [penalty(int(s)) for s in b["seed"]]})
+
+    return seeds.select(F.col("seed").cast("long").alias("seed")).mapInPandas(run, "seed long, penalty double")
+
+
+def best_layouts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The seed of the least penalty, of each group if there are some; the smallest of equals."""
+    return scored.groupBy(*by).agg(F.min(F.struct("penalty", "seed")).alias("b")).select(*by, "b.seed", "b.penalty")
 
 
 def eval_pool(pairs: DataFrame, mode: str, seed: int, percent: float | None = None, n: int | None = None) -> DataFrame:

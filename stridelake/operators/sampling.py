@@ -83,6 +83,14 @@ def round_order(rounds: DataFrame, epoch: int, seed: int) -> DataFrame:
     return rounds.withColumn("position", F.row_number().over(Window.orderBy(hash_key(seed, epoch, F.col("round")), "round")) - 1)
 
 
+def deal_ranks(items: DataFrame, key: str, world: int) -> DataFrame:
+    """(key, rank): the distinct keys of a dimension, in order, dealt to ranks in turn."""
+    if world < 1:
+        raise ValueError("at least one rank is needed")
+    at = F.row_number().over(Window.orderBy(key)) - 1
+    return items.select(key).distinct().select(key, F.pmod(at, F.lit(world)).cast("long").alias("rank"))
+
+
 def assign_ranks(items: Sequence[str], world: int) -> list[tuple[str, int]]:
     """Items dealt to ranks in turn."""
     if world < 1:
@@ -120,6 +128,26 @@ def pad_rows(n_rows: int, size: int, seed: int) -> list[int]:
     return sorted(range(n_rows), key=lambda i: (h(seed, i), i))[:size] + [int(h(seed, "pad", i), 16) % n_rows for i in range(size - n_rows)]
 
 
+def pad_groups(rows: DataFrame, by: Sequence[str], key: str, seed: int, size: Column) -> DataFrame:
+    """(by, position, key): each group's rows once in a seeded order, then seeded repeats up to ``size`` rows.
+
+    ``size`` is a column expression over n, the rows of the group.  Larger groups stay as they are.
+    """
+    order = Window.partitionBy(*by).orderBy(hash_key(*(F.col(b) for b in by), seed, F.col(key)), key)
+    placed = rows.select(*by, key).withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("size", size).filter("size > n")
+    more = n.withColumn("place", F.explode(F.sequence("n", F.col("size") - 1)))
+    more = more.withColumn("position", F.floor(uniform(*(F.col(b) for b in by), seed, "pad", F.col("place")) * F.col("n")))
+    more = more.join(placed, [*by, "position"]).select(*by, F.col("place").alias("position"), key)
+    return placed.select(*by, "position", key).unionByName(more)
+
+
+def split_rows(targets: DataFrame, target: str, workers: int) -> DataFrame:
+    """A row for each worker with its share of ``target``; the first ones take the remainder."""
+    each = targets.withColumn("worker", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(workers - 1).cast("long"))))
+    return each.withColumn("share", F.floor(F.col(target) / workers) + F.when(F.col("worker") < F.col(target) % workers, 1).otherwise(0))
+
+
 def weighted_top(rows: DataFrame, by: Sequence[str], key: str, weight: str, seed: int, n: int) -> DataFrame:
     """A weighted sample of ``n`` rows by group without replacement: the least -ln(u) / w come first."""
     u = F.greatest(uniform(seed, *(F.col(b) for b in by), F.col(key)), F.lit(2.0**-53))

@@ -135,7 +135,7 @@ def wn12_turns(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def tk2_older_order(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs in the order of the older difficulty, with their ranks."""
-    h = GR.hard_pairs(GR.pairs(grid(spark)), 0.0)
+    h = GR.hard_pairs(GR.pairs(grid(spark, sf)), 0.0)
     w = Window.partitionBy("map_id").orderBy("hard", "path_len", "away_steps", "start_row", "start_col", "goal_row", "goal_col")
     return h.select("map_id", "start_row", "start_col", "goal_row", "goal_col", F.row_number().over(w).alias("pos"))
 
@@ -151,7 +151,7 @@ def tk4_hard_pool(spark: SparkSession, sf: str) -> DataFrame:
     FROM positions p JOIN grid g ON g.is_free AND g.map_id = 1) SELECT pos_id, row, col FROM d WHERE n = 1""")
 def tk8_nearest_free(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest free cell of every position, ties to the first in row order."""
-    all_walls = grid(spark).filter("map_id = 1")
+    all_walls = grid(spark, sf).filter("map_id = 1")
     free = all_walls.filter("is_free").agg(F.array_sort(F.collect_list(F.struct("row", "col"))).alias("free"))
     d = lambda s: (F.col("x") - (s["col"] + 0.5 - 5.5)) ** 2 + (F.col("y") - (4.5 - (s["row"] + 0.5))) ** 2
     best = F.array_min(F.transform("free", lambda s: F.struct(d(s).alias("d"), s["row"].alias("row"), s["col"].alias("col"))))
@@ -179,13 +179,13 @@ def sm18_success_requirement(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {GRID_SQL} SELECT map_id, count(*) * 16 * 4 AS entries FROM grid GROUP BY map_id""")
 def sc5_status_table(spark: SparkSession, sf: str) -> DataFrame:
-    return G.status_table(grid(spark), "v3").groupBy("map_id").agg(F.count(F.lit(1)).alias("entries"))
+    return G.status_table(grid(spark, sf), "v3").groupBy("map_id").agg(F.count(F.lit(1)).alias("entries"))
 
 
 @query(f"""WITH {GRID_SQL} SELECT map_id, row, col, 'at (' || (row + 1) || ',' || (col + 1) || ') goal (8,10) up=free, down=wall, left=risk, right=free' AS line FROM grid WHERE is_free""")
 def sc7_sensing_text(spark: SparkSession, sf: str) -> DataFrame:
     line = G.sensing_text(F.col("row"), F.col("col"), F.lit(7), F.lit(9), F.array(*map(F.lit, (0, 1, 2, 0))))
-    return grid(spark).filter("is_free").select("map_id", "row", "col", line.alias("line"))
+    return grid(spark, sf).filter("is_free").select("map_id", "row", "col", line.alias("line"))
 
 
 @query("""SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) + 7 + 7 + embedding[4], 5) AS total, CAST(4 AS INTEGER) AS dims FROM embeddings""")
@@ -247,7 +247,7 @@ def sc30_small_functions(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def gr15_map_report(spark: SparkSession, sf: str) -> DataFrame:
     """The inspection table of maps: a line of its figures for each."""
-    m = GR.map_metrics(grid(spark))
+    m = GR.map_metrics(grid(spark, sf))
     return m.select("map_id", F.concat_ws(" ", F.concat(F.lit("map-"), F.col("map_id").cast("string")), *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("rows", "cols", "free", "path_len", "deadends", "static_difficulty"))).alias("line"))
 
 

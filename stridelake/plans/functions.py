@@ -19,7 +19,7 @@ _CELL = "least(greatest(CAST(floor(4.5 - y) AS BIGINT), 0), 8) AS r0, least(grea
     SELECT p.pos_id, CASE WHEN g.is_free THEN p.r0 ELSE d.row END AS row, CASE WHEN g.is_free THEN p.c0 ELSE d.col END AS col FROM p JOIN g ON g.row = p.r0 AND g.col = p.c0 JOIN d ON d.pos_id = p.pos_id AND d.n = 1""")
 def sc1_position_to_cell(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of positions, snapped out of walls (also the nearest-free-cell rule)."""
-    return G.snap(positions(spark, sf), grid(spark).filter("map_id = 0"), 9, 11).select("pos_id", "row", "col")
+    return G.snap(positions(spark, sf), grid(spark, sf).filter("map_id = 0"), 9, 11).select("pos_id", "row", "col")
 
 
 @query(f"""WITH {POSITIONS_SQL}, p AS (SELECT *, {_CELL} FROM positions) SELECT pos_id, CAST(c0 + 0.5 - 5.5 AS DOUBLE) AS cx, CAST(4.5 - (r0 + 0.5) AS DOUBLE) AS cy FROM p""")
@@ -54,7 +54,7 @@ _CORNER = "((near1 AND NOT side1 AND diag1) OR (near2 AND NOT side2 AND diag2))"
 
 def _status(version: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return G.status_table(grid(spark), version).drop("ord")
+        return G.status_table(grid(spark, sf), version).drop("ord")
 
     run.__name__ = f"sc4_wall_sensing_{version}"
     return run
@@ -72,9 +72,9 @@ for _v, _case in {
 
 def _sensed(spark: SparkSession, sf: str, version: str = "v1") -> DataFrame:
     p = positions(spark, sf)
-    p = G.snap(p, grid(spark).filter("map_id = 0"), 9, 11)
+    p = G.snap(p, grid(spark, sf).filter("map_id = 0"), 9, 11)
     p = p.withColumn("mask", G.near_mask(F.col("x"), F.col("y"), G.cell_bounds(F.col("row"), F.col("col"), 9, 11), 0.255))
-    t = G.status_table(grid(spark).filter("map_id = 0"), version)
+    t = G.status_table(grid(spark, sf).filter("map_id = 0"), version)
     t = t.groupBy("row", "col", "mask").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "status"))), lambda s: s["status"]).alias("statuses"))
     return p.join(F.broadcast(t), ["row", "col", "mask"])
 
@@ -86,8 +86,8 @@ def sc6_sensing(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("pos_id", "row", "col", G.sensing_text(F.col("row"), F.col("col"), F.lit(1), F.lit(9), F.col("statuses")).alias("en"), G.sensing_text(F.col("row"), F.col("col"), F.lit(1), F.lit(9), F.col("statuses"), zh=True).alias("zh"))
 
 
-def _grid_rows(spark: SparkSession) -> DataFrame:
-    g = grid(spark)
+def _grid_rows(spark: SparkSession, sf: str) -> DataFrame:
+    g = grid(spark, sf)
     line = g.groupBy("map_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", F.when(F.col("is_free"), 0).otherwise(1).alias("v")))), lambda s: s["v"]).alias("line"))
     return line.groupBy("map_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda s: s["line"]).alias("grid"))
 
@@ -98,15 +98,15 @@ _ROWS = f"""{GRID_SQL}, m AS (SELECT map_id, row, col, CASE WHEN row = 1 AND col
 @query(f"""WITH {_ROWS}, l AS (SELECT map_id, row, string_agg(CAST(v AS VARCHAR), '' ORDER BY col) AS line FROM m GROUP BY ALL)
     SELECT map_id, string_agg(line, chr(10) ORDER BY row) AS picture FROM l GROUP BY map_id""")
 def sc9_dynamic_map(spark: SparkSession, sf: str) -> DataFrame:
-    m = _grid_rows(spark)
+    m = _grid_rows(spark, sf)
     return m.select("map_id", G.map_text(G.dynamic_map(F.col("grid"), F.lit(1), F.lit(1), F.lit(7), F.lit(9))).alias("picture"))
 
 
 @query(f"""WITH {GRID_SQL}, f AS (SELECT m.map_id, r * 13 + c AS i, coalesce(CASE WHEN g.is_free THEN 0 WHEN NOT g.is_free THEN 1 END, -1) AS v
-    FROM range(3) m(map_id), range(10) x(r), range(13) y(c) LEFT JOIN grid g ON g.map_id = m.map_id AND g.row = r AND g.col = c)
-    SELECT map_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS features FROM f GROUP BY map_id""".replace("FROM range(3) m(map_id), range(10) x(r), range(13) y(c) LEFT JOIN", "FROM (SELECT * FROM range(3) m(map_id), range(10) x(r), range(13) y(c)) m LEFT JOIN"))
+    FROM (SELECT DISTINCT map_id FROM grid) m(map_id), range(10) x(r), range(13) y(c) LEFT JOIN grid g ON g.map_id = m.map_id AND g.row = r AND g.col = c)
+    SELECT map_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS features FROM f GROUP BY map_id""".replace("FROM (SELECT DISTINCT map_id FROM grid) m(map_id), range(10) x(r), range(13) y(c) LEFT JOIN", "FROM (SELECT * FROM (SELECT DISTINCT map_id FROM grid) m(map_id), range(10) x(r), range(13) y(c)) m LEFT JOIN"))
 def sc10_map_features(spark: SparkSession, sf: str) -> DataFrame:
-    return _grid_rows(spark).select("map_id", F.array_join(G.map_features(F.col("grid"), 10, 13), ",").alias("features"))
+    return _grid_rows(spark, sf).select("map_id", F.array_join(G.map_features(F.col("grid"), 10, 13), ",").alias("features"))
 
 
 @query("""SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) + embedding[2], 6) AS xy, CAST(6 AS INTEGER) AS dims FROM embeddings""")

@@ -62,8 +62,7 @@ def sm7_round_order(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT n_name AS variant, CAST((row_number() OVER (ORDER BY n_name) - 1) % 4 AS BIGINT) AS rank FROM nation""")
 def sm8_rank_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """The variants are a dimension of fixed size."""
-    names = sorted(r.n_name for r in table(spark, sf, "nation").select("n_name").collect())
-    return spark.createDataFrame(S.assign_ranks(names, 4), "variant string, rank long")
+    return S.deal_ranks(table(spark, sf, "nation").select(F.col("n_name").alias("variant")), "variant", 4)
 
 
 @query("""SELECT doc_id, source, round(1.0 / count(*) OVER (PARTITION BY source), 10) AS weight FROM documents""")
@@ -79,10 +78,13 @@ def sm9_weighted_draws(spark: SparkSession, sf: str) -> DataFrame:
     return S.weighted_draws(c, "w", ["n_name"], 500, 21).select("draw", "n_name")
 
 
-@query()
+@query(f"""WITH {_EP}, o AS (SELECT variant, episode_idx, row_number() OVER (PARTITION BY variant ORDER BY sha256(variant || ':7:' || episode_idx), episode_idx) - 1 AS position FROM ep),
+    n AS (SELECT variant, count(*) AS n, ((count(*) + 63) // 64) * 64 AS size FROM ep GROUP BY variant), m AS (SELECT variant, n, unnest(range(n, size)) AS place FROM n),
+    x AS (SELECT variant, place, CAST(floor({_U.format("variant || ':7:pad:' || place")} * n) AS BIGINT) AS position FROM m)
+    SELECT variant, position, episode_idx FROM o UNION ALL SELECT x.variant, x.place, o.episode_idx FROM x JOIN o USING (variant, position)""")
 def sm10_padding(spark: SparkSession, sf: str) -> DataFrame:
-    """A shard of three rows filled up to eight."""
-    return spark.createDataFrame(list(enumerate(S.pad_rows(3, 8, 7))), "position int, row int")
+    """Every variant's episodes, filled up to whole batches of 64."""
+    return S.pad_groups(_episodes(spark, sf), ["variant"], "episode_idx", 7, F.ceil(F.col("n") / 64) * 64)
 
 
 @query(f"""SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY -ln(greatest({_U.format("'17:' || p_brand || ':' || p_partkey")}, 1.1102230246251565e-16)) / p_size, p_partkey) AS r
@@ -134,6 +136,9 @@ def sm16_estimate_sample(spark: SparkSession, sf: str) -> DataFrame:
     return S.first_by_hash(table(spark, sf, "documents").select("source", "doc_id"), ["source"], "doc_id", 23, 3)
 
 
-@query("""SELECT CAST(i AS BIGINT) AS worker, CAST(103 // 8 + CASE WHEN i < 103 % 8 THEN 1 ELSE 0 END AS BIGINT) AS target FROM range(8) r(i)""")
+@query("""WITH t AS (SELECT o_orderstatus, count(*) AS target FROM orders GROUP BY o_orderstatus)
+    SELECT o_orderstatus, CAST(i AS BIGINT) AS worker, CAST(target // 8 + CASE WHEN i < target % 8 THEN 1 ELSE 0 END AS BIGINT) AS share FROM t, range(8) r(i)""")
 def sm17_split_target(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(S.split_target(103, 8))), "worker long, target long")
+    """The episodes of each kind, shared out to eight workers."""
+    t = table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("target"))
+    return S.split_rows(t, "target", 8).select("o_orderstatus", "worker", "share")

@@ -82,9 +82,9 @@ POSITIONS_SQL = """positions AS (
     SELECT p_partkey AS pos_id, (p_partkey * 37 % 1100) / 100.0 - 5.5 AS x, (p_partkey * 53 % 900) / 100.0 - 4.5 AS y FROM part)"""
 
 
-def grid(spark: SparkSession, maps: int = 3, rows: int = 9, cols: int = 11) -> DataFrame:
-    """Cells of synthetic maps: a walled border, pillars at even places and some walls between them."""
-    r = spark.range(maps).select(F.col("id").alias("map_id"))
+def grid(spark: SparkSession, sf_dir: str, rows: int = 9, cols: int = 11) -> DataFrame:
+    """Cells of synthetic maps, one for each ten suppliers: a walled border, pillars at even places and some walls between them."""
+    r = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 10).cast("long").alias("map_id")).distinct()
     r = r.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
     r = r.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))))
     border = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == rows - 1) | (F.col("col") == cols - 1)
@@ -96,4 +96,4 @@ def grid(spark: SparkSession, maps: int = 3, rows: int = 9, cols: int = 11) -> D
 GRID_SQL = """grid AS (
     SELECT m.map_id, r.row, c.col, NOT (r.row = 0 OR c.col = 0 OR r.row = 8 OR c.col = 10 OR (r.row % 2 = 0 AND c.col % 2 = 0)
            OR ((r.row + c.col) % 2 = 1 AND (r.row * 7 + c.col * 3 + m.map_id * 5) % 11 = 0)) AS is_free
-    FROM range(3) m(map_id), range(9) r(row), range(11) c(col))"""
+    FROM (SELECT DISTINCT CAST(s_suppkey // 10 AS BIGINT) AS map_id FROM supplier) m, range(9) r(row), range(11) c(col))"""

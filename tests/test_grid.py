@@ -106,12 +106,16 @@ def test_mazes_are_perfect_and_repeatable(spark, spec):
     assert cells.filter("map_id = 2 and is_free").count() == sum(v == 0 for line in G.perfect_maze(2, spec) for v in line)
 
 
-def test_layouts():
+def test_layouts(spark):
     grid = G.random_layout(3, 9, 11, 0.55, 0.4)
     free = {(r, c) for r, line in enumerate(grid) for c, v in enumerate(line) if v == 0}
     assert not any({(r, c), (r + 1, c), (r, c + 1), (r + 1, c + 1)} <= free for r in range(9) for c in range(11))
-    seed, penalty = G.best_layout(range(8), 9, 11, 0.5, 0.3, {"deadends": (0, 100)})
-    assert (seed, penalty) == (0, 0)
+    seeds = spark.range(8).withColumnRenamed("id", "seed")
+    best = G.best_layouts(G.layout_penalties(seeds, 9, 11, 0.5, 0.3, {"deadends": (0, 100)})).collect()
+    assert [(r.seed, r.penalty) for r in best] == [(0, 0)]
+    some = {r.seed: r.penalty for r in G.layout_penalties(seeds, 9, 11, 0.5, 0.3, {"deadends": (2, 3)}).collect()}
+    m = G.metrics(G.Graph((r, c) for r, line in enumerate(G.random_layout(5, 9, 11, 0.5, 0.3)) for c, v in enumerate(line) if v == 0), 9, 11)
+    assert len(some) == 8 and some[5] == max(2 - m["deadends"], m["deadends"] - 3, 0)
 
 
 def test_diverse_cells_are_far_apart():
