@@ -11,8 +11,9 @@
    A window whose anchor is estimated unique is unique, and drops out.
 3. *Exact grouping.*  The others are grouped by a 96-bit key, made of 64-bit hashes of their words, which
    is as good as 64 bits where two words share a hash.  Within a
-   block only the earliest occurrence of a key can be the earliest of all, so
-   the later ones are settled where they are and one a block and key travels.  Each
+   task's ``WINDOW_GROUP`` windows only the earliest occurrence of a key can be the earliest of all, so
+   the later ones are settled where they are and one a group and key travels: a window that
+   every document has costs its owner an entry for each task, not for each document.  Each
    key's owner marks all but the earliest, and the marks are gathered by document.
 
 The sketch's width follows the number of words up to ``MAX_CELLS``, which bounds
@@ -40,6 +41,7 @@ MAX_CELLS = 1 << 30
 RANGE = 1 << 18  # cells of one merged range
 BLOCK_BYTES = 4 << 20
 BLOCK_GROUP = 1 << 20  # anchors that share one cell list
+WINDOW_GROUP = 1 << 20  # windows that a task settles together
 MARK_GROUP = 1 << 20  # marks that are packed together
 
 
@@ -167,7 +169,35 @@ def _marks(src: DataFrame, k: int, a: int, cells: int, sketch: list[tuple[int, b
     def rows_of(owner, kind, blobs):
         return pa.RecordBatch.from_arrays([pa.array(owner, pa.int32()), pa.array([kind] * len(owner), pa.int8()), pa.array(blobs, pa.binary())], names=names)
 
+    def settle_here(held: list, docs: list) -> Iterator[pa.RecordBatch]:
+        one, two, r, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, fps = (np.concatenate(x) for x in zip(*docs, strict=True))
+        order = np.lexsort((p, fps[r], ids[r], two, one))
+        o1, o2, od, of, op = one[order], two[order], ids[r][order], fps[r][order], p[order]
+        same = np.zeros(len(order), bool)
+        same[1:] = (o1[1:] == o1[:-1]) & (o2[1:] == o2[:-1])
+        repeat = np.zeros(len(order), bool)  # the very same place, told by a repeated row, isn't earlier
+        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        repeat[1:] = same[1:] & ((od[1:] != od[lead[1:]]) | (of[1:] != of[lead[1:]]) | (op[1:] != op[lead[1:]]))
+        late = order[repeat]
+        if len(late):
+            late = late[np.lexsort((p[late], fps[r[late]], ids[r[late]]))]
+            yield rows_of([int(ids[0] % owners)], 1, [_pack_marks(ids[r[late]], fps[r[late]], p[late])])
+        early = np.sort(order[~same])
+        to = (one[early] % np.uint64(owners)).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        early, to = early[by], to[by]
+        cuts = np.flatnonzero(np.diff(to, prepend=-1))
+        out, blobs = [], []
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
+            e = early[lo:hi]
+            own, back = np.unique(r[e], return_inverse=True)
+            blobs.append(np.array([len(e), len(own)], "<i4").tobytes() + one[e].tobytes() + two[e].tobytes() + back.astype("<i4").tobytes() + p[e].astype("<i4").tobytes() + ids[own].astype("<i8").tobytes() + fps[own].astype("<i8").tobytes())
+            out.append(int(to[lo]))
+        yield rows_of(out, 0, blobs)
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, docs, rows_held, size = [], [], 0, 0
         for rows, h, first in _blocks(batches):
             at, anchor, _, _ = _anchors(h, first, k, a)
             if not len(at):
@@ -177,31 +207,15 @@ def _marks(src: DataFrame, k: int, a: int, cells: int, sketch: list[tuple[int, b
                 continue
             r, p, one = X.windows(h, first, k, 0)  # the same windows in the same order as ``at``
             _, _, two = X.windows(h, first, k, 1)
-            r, p, one, two = r[keep], p[keep], one[keep], (two[keep] >> np.uint64(32)).astype(np.uint32)
-            ids, fps = (rows.column(c).to_numpy() for c in ("id", "fp"))
-            order = np.lexsort((p, fps[r], ids[r], two, one))
-            o1, o2, od, of, op = one[order], two[order], ids[r][order], fps[r][order], p[order]
-            same = np.zeros(len(order), bool)
-            same[1:] = (o1[1:] == o1[:-1]) & (o2[1:] == o2[:-1])
-            repeat = np.zeros(len(order), bool)  # the very same place, told by a repeated row, isn't earlier
-            lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            repeat[1:] = same[1:] & ((od[1:] != od[lead[1:]]) | (of[1:] != of[lead[1:]]) | (op[1:] != op[lead[1:]]))
-            late = order[repeat]
-            if len(late):
-                late = late[np.lexsort((p[late], r[late]))]
-                yield rows_of([int(x % owners) for x in (late[:1] + int(ids[0]))], 1, [_pack_marks(ids[r[late]], fps[r[late]], p[late])])
-            early = np.sort(order[~same])
-            to = (one[early] % np.uint64(owners)).astype(np.int64)
-            by = np.argsort(to, kind="stable")
-            early, to = early[by], to[by]
-            cuts = np.flatnonzero(np.diff(to, prepend=-1))
-            out, blobs = [], []
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
-                e = early[lo:hi]
-                docs, back = np.unique(r[e], return_inverse=True)
-                blobs.append(np.array([len(e), len(docs)], "<i4").tobytes() + one[e].tobytes() + two[e].tobytes() + back.astype("<i4").tobytes() + p[e].astype("<i4").tobytes() + ids[docs].astype("<i8").tobytes() + fps[docs].astype("<i8").tobytes())
-                out.append(int(to[lo]))
-            yield rows_of(out, 0, blobs)
+            held.append((one[keep], (two[keep] >> np.uint64(32)).astype(np.uint32), r[keep] + rows_held, p[keep]))
+            docs.append(tuple(rows.column(c).to_numpy() for c in ("id", "fp")))
+            rows_held += rows.num_rows
+            size += len(held[-1][0])
+            if size >= WINDOW_GROUP:
+                yield from settle_here(held, docs)
+                held, docs, rows_held, size = [], [], 0, 0
+        if held:
+            yield from settle_here(held, docs)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, held, marks = None, [], []
