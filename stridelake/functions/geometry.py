@@ -77,7 +77,7 @@ def status_table(cells: DataFrame, version: str) -> DataFrame:
     size = cells.groupBy("map_id").agg(F.max("row").alias("maxr"), F.max("col").alias("maxc"))
     walls = F.collect_set(F.struct("r", "c")).alias("walls")
     size = size.join(wall.groupBy("map_id").agg(walls), "map_id", "left")
-    k = cells.select("map_id", "row", "col").join(F.broadcast(size), "map_id").crossJoin(F.broadcast(d))
+    k = cells.select("map_id", "row", "col").join(size, "map_id").crossJoin(F.broadcast(d))
 
     def is_wall(r: Column, c: Column) -> Column:
         out = (r < 0) | (c < 0) | (r > F.col("maxr")) | (c > F.col("maxc"))

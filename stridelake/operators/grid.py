@@ -326,7 +326,7 @@ def hard_pairs(pairs: DataFrame, alpha: float, top: int | None = None, longest:
 
     far = pairs.groupBy("map_id").agg(F.max("path_len").alias("far"))
     score = 0.5 * F.col("path_len") / F.col("far") + 0.5 * F.col("away_steps") / F.greatest(F.col("path_len"), F.lit(1))
-    p = pairs.join(F.broadcast(far), "map_id").withColumn("hard", score).drop("far")
+    p = pairs.join(far, "map_id").withColumn("hard", score).drop("far")
     if longest is not None:
         p = p.filter(F.col("path_len") <= longest)
     order = ["hard", "path_len", "away_steps", "start_row", "start_col", "goal_row", "goal_col"]

@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKETS = 1024  # of a distribution that draws meet choices by
+
+
 def hash_key(*parts: Column | str | int) -> Column:
     """Hex SHA-256 of the parts joined by colons; fixed-width hex orders like the number."""
     cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
@@ -39,7 +42,7 @@ def split(rows: DataFrame, by: Sequence[str], key: str, seed: int, train_ratio:
 
 def keep_overrides(groups: DataFrame, overrides: DataFrame, key: str, default: int) -> DataFrame:
     """Rows to keep by group: its override, or the default."""
-    return groups.join(F.broadcast(overrides), key, "left").select(key, F.coalesce("keep", F.lit(default)).alias("keep"))
+    return groups.join(overrides, key, "left").select(key, F.coalesce("keep", F.lit(default)).alias("keep"))
 
 
 def first_by_hash(rows: DataFrame, by: Sequence[str], key: str, seed: int, n: int) -> DataFrame:
@@ -101,7 +104,7 @@ def assign_ranks(items: Sequence[str], world: int) -> list[tuple[str, int]]:
 def inverse_size_weights(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """A weight of 1 / n for each row of a group of n rows; the sizes are counted apart and joined, so a large group is no single task's."""
     n = rows.groupBy(*by).agg((1.0 / F.count(F.lit(1))).alias("weight"))
-    return rows.join(F.broadcast(n), list(by))
+    return rows.join(n, list(by))
 
 
 def weighted_draws(choices: DataFrame, weight: str, order: Sequence[str], n: int, seed: int) -> DataFrame:
@@ -112,10 +115,14 @@ def weighted_draws(choices: DataFrame, weight: str, order: Sequence[str], n: int
     w = Window.orderBy(*order)
     c = choices.filter(F.col(weight) > 0).withColumn("_hi", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     c = c.withColumn("_lo", F.col("_hi") - F.col(weight))
-    total = c.agg(F.max("_hi").alias("_total"))
+    total = c.agg(F.max("_hi").alias("_total"))  # one row
     draws = choices.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("u", uniform(seed, F.col("draw"))).crossJoin(F.broadcast(total))
+    # both sides meet by buckets of the distribution; an interval is in every bucket that it may touch
+    at = lambda x, by: F.floor(F.col(x) / F.col("_total") * BUCKETS + by)
+    c = c.crossJoin(F.broadcast(total)).withColumn("_b", F.explode(F.sequence(at("_lo", -1e-6), at("_hi", 1e-6)))).drop("_total")
     x = F.col("u") * F.col("_total")
-    return draws.join(F.broadcast(c), (x >= F.col("_lo")) & (x < F.col("_hi"))).drop("_hi", "_lo", "_total", "u")
+    met = draws.withColumn("_b", F.floor(F.col("u") * BUCKETS)).join(c, "_b").filter((x >= F.col("_lo")) & (x < F.col("_hi")))
+    return met.drop("_hi", "_lo", "_total", "u", "_b")
 
 
 def pad_rows(n_rows: int, size: int, seed: int) -> list[int]:
@@ -161,13 +168,13 @@ def permutation_cycle(items: DataFrame, by: Sequence[str], key: str, seed: int,
     w = Window.partitionBy(*by)
     p = items.withColumn("_pos", F.row_number().over(w.orderBy(hash_key(seed, F.col(key)), key)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     n = p.select(*by, "_n").distinct()
-    return episodes.join(F.broadcast(n), list(by)).withColumn("_pos", F.col(episode) % F.col("_n")).join(p.drop("_n"), [*by, "_pos"]).drop("_n", "_pos")
+    return episodes.join(n, list(by)).withColumn("_pos", F.col(episode) % F.col("_n")).join(p.drop("_n"), [*by, "_pos"]).drop("_n", "_pos")
 
 
 def probabilities(rows: DataFrame, by: Sequence[str], weight: str) -> DataFrame:
     """Weights as shares of their group; groups without weight share evenly."""
     s = rows.groupBy(*by).agg(F.sum(weight).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    return rows.join(F.broadcast(s), list(by)).withColumn("probability", F.when(F.col("_s") > 0, F.col(weight) / F.col("_s")).otherwise(1.0 / F.col("_n"))).drop("_s", "_n")
+    return rows.join(s, list(by)).withColumn("probability", F.when(F.col("_s") > 0, F.col(weight) / F.col("_s")).otherwise(1.0 / F.col("_n"))).drop("_s", "_n")
 
 
 def relabel_goals(steps: DataFrame, seed: int, p_current: float, p_future: float, discount: float | None, keys: Sequence[str] = ("variant", "episode_idx")) -> DataFrame:
