@@ -1,8 +1,20 @@
+import hashlib
+import re
+import zlib
+
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as C
+from stridelake.llm import quality_eb
+from stridelake.llm.queries import MIX_WEIGHTS
 from tests.llm import brute
+from tests.llm.test_decontaminate import plain
+from tests.llm.test_mixing import allocate
+from tests.llm.test_quality_eb import posteriors
 
 D = "/root/testdata/sf0.01"
 
@@ -49,6 +61,54 @@ def test_test_items_go(stages):
     assert set(ids(stages[2][1])) == {r.doc_id for r in before if not any(t in r.text for t in items)}
 
 
+def test_quality_stage_against_its_plain_twin(spark, stages):
+    scored = quality_eb.score(spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")).collect()
+    want = posteriors(scored)
+    assert set(ids(stages[0][1])) == {d for d, p in want.items() if p >= quality_eb.THRESHOLD}
+    assert 0 < len(set(ids(stages[0][1]))) < len(want)
+
+
+def test_decontamination_stage_against_plain_scoring(stages):
+    items = duckdb.connect().sql(f"select item_id, text from '{D}/benchmark.parquet'").fetchall()
+    before = [(r.doc_id, r.text) for r in stages[1][1].select("doc_id", "text").collect()]
+    near = [(d, t) for d, t in before if d % 4 == 0 or any(x.split("\n")[-1][:20] in (t or "") for _, x in items)]
+    gone = {d for d, _ in plain(near, items)}
+    assert gone and set(ids(stages[2][1])) & {d for d, _ in near} == {d for d, _ in near} - gone
+
+
+def test_mixing_stage_against_its_plain_twin(stages):
+    rows = stages[2][1].select("doc_id", "text", "lang", "source").collect()
+    leaves, members = {}, {}
+    for r in rows:
+        number = re.search("[0-9]{1,9}$", r.source or "")
+        leaf = (f"domain{int(number[0]) % 4}" if number else "domain", r.lang or "", r.source or "")
+        n = len(brute.WORD.findall(r.text or ""))
+        leaves[leaf] = leaves.get(leaf, 0) + n
+        members.setdefault(leaf, []).append((r.doc_id, n))
+    given = allocate(leaves, MIX_WEIGHTS, int(0.9 * sum(leaves.values())), 1)
+    want = set()
+    for leaf, tokens in leaves.items():
+        whole = given[leaf] // tokens if tokens else 1
+        rest, run = given[leaf] - whole * tokens, 0
+        want |= {d for d, _ in members[leaf]} if whole else set()
+        for d, n in sorted(members[leaf], key=lambda m: (hashlib.sha256(f"7:{whole}:{m[0]}".encode()).hexdigest()[:15], m[0])) if rest and not whole else []:
+            run += n
+            if run > rest:
+                break
+            want.add(d)
+    assert set(ids(stages[3][1])) == want
+
+
+def test_token_stage_against_the_library(stages):
+    lib, start = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    want = []
+    for r in sorted(stages[3][1].select("doc_id", "text").collect()):
+        x = np.array([*lib.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((r.doc_id, start, len(x), zlib.crc32(x.tobytes())))
+        start += len(x)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in stages[4][1].collect()) == want
+
+
 def test_mixing_takes_nine_tenths(stages):
     words = [sum(len((t or "").split()) for (t,) in df.select("text").collect()) for _, df in stages[2:4]]
     assert 0.85 * words[0] < words[1] <= 0.9 * words[0]
