@@ -12,6 +12,11 @@ DECLINES, LEAST_DECLINE, RECOVERY = 2, 0.02, 0.0
 WINDOW, TEST_GAIN, TRAIN_GAIN, TEST_DROP = 3, 0.02, 0.03, 0.01
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE 754 and DuckDB have it: by zero it is infinite, zero by zero is NaN; null only for nulls."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
 def run_figures(rows: DataFrame, by: Sequence[str], step: str, value: str, threshold: float, tail: int = 3) -> DataFrame:
     """Share above a threshold, least value of the tail, and last over first value of each run."""
     back = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(step)))
@@ -19,7 +24,7 @@ def run_figures(rows: DataFrame, by: Sequence[str], step: str, value: str, thres
     return r.groupBy(*by).agg(
         F.avg(F.when(F.col(value) > threshold, 1.0).otherwise(0.0)).alias("positive"),
         F.min(F.when(F.col("_back") <= tail, F.col(value))).alias("tail_min"),
-        F.try_divide(F.max_by(value, step), F.min_by(value, step)).alias("decrease"),
+        ratio(F.max_by(value, step), F.min_by(value, step)).alias("decrease"),
     )
 
 

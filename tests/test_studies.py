@@ -1,10 +1,14 @@
 import math
+from datetime import datetime, timedelta
 
+import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from stridelake.operators import metrics as M
 from stridelake.operators import studies as T
+from stridelake.plans.catalog import ORACLE, QUERIES
 
 
 def records(spark, curves):
@@ -111,3 +115,23 @@ def test_report(spark):
     assert T.markdown(df, ["a", "b"]) == "| a | b |\n|---|---|\n| 1 |  |\n| 2 | x |"
     with pytest.raises(ValueError):
         T.markdown(df, ["a"], 1)
+
+
+def by_sql(spark, folder, name, events):
+    """Rows of a query on events (run, seconds, value), and those of its SQL."""
+    start = datetime(2024, 1, 1)
+    data = [(i, start + timedelta(seconds=t), u, "view", v) for i, (u, t, v) in enumerate(events)]
+    spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    df, con = QUERIES[name](spark, str(folder)), duckdb.connect()
+    con.sql(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    want = con.sql(f"select {', '.join(df.columns)} from ({ORACLE[name]})").fetchall()
+    return sorted(map(repr, df.collect())), sorted(repr(Row(*df.columns)(*r)) for r in want)
+
+
+#: Runs that start at zero, end there, do both, or have a quotient within a rounding error of a half.
+EDGES = [(1, 0, 0.0), (1, 1, 90.0), (2, 0, 30.0), (2, 1, 0.0), (3, 0, 0.0), (3, 1, 0.0), (4, 0, 0.0), (4, 1, -5.0), (5, 0, 32.0), (5, 1, 65.21), (6, 0, 64.0), (6, 1, 256.9), (7, 0, 40.0)]
+
+
+def test_range_figures_over_zero_and_at_halves_equal_sql(spark, tmp_path):
+    got, want = by_sql(spark, tmp_path, "ag30_range_figures", EDGES)
+    assert got == want and "decrease=inf" in got[0] and "decrease=nan" in got[2] and "decrease=2.037812" in got[4]
