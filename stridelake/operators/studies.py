@@ -162,7 +162,7 @@ def stability(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     g = r.groupBy(*by).agg(
         F.bool_or(bad("loss") | bad("gradient")).alias("broken"), F.bool_or(F.col("epoch") != F.col("_pos")).alias("gaps"),
         F.avg(F.when(F.col("gradient") > 0, 1.0).otherwise(0.0)).alias("moving"), F.min(F.when(F.col("_b") <= 3, F.col("spread"))).alias("tail_spread"),
-        F.try_divide(F.max_by("loss", "epoch"), F.min_by("loss", "epoch")).alias("ratio"),
+        ratio(F.max_by("loss", "epoch"), F.min_by("loss", "epoch")).alias("ratio"),
     )
     reasons = F.filter(
         F.array(

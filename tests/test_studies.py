@@ -135,3 +135,8 @@ EDGES = [(1, 0, 0.0), (1, 1, 90.0), (2, 0, 30.0), (2, 1, 0.0), (3, 0, 0.0), (3,
 def test_range_figures_over_zero_and_at_halves_equal_sql(spark, tmp_path):
     got, want = by_sql(spark, tmp_path, "ag30_range_figures", EDGES)
     assert got == want and "decrease=inf" in got[0] and "decrease=nan" in got[2] and "decrease=2.037812" in got[4]
+
+
+def test_stability_of_runs_that_start_at_zero_equals_sql(spark, tmp_path):
+    got, want = by_sql(spark, tmp_path, "cq8_run_stability", EDGES)
+    assert got == want and sum("loss does not fall" in r for r in got) == 5
