@@ -209,6 +209,11 @@ PAIR_SCHEMA = (
 )
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all shuffle partitions: small as they are, adaptive execution would leave their long work to one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _per_map(cells: DataFrame, kernel, schema: str) -> DataFrame:
     """Run a kernel on each map's free cells; one map is one row, so no cells are shuffled twice."""
     packed = cells.groupBy("map_id").agg(F.collect_list(F.when(F.col("is_free"), F.struct("row", "col"))).alias("free"), F.max("row").alias("maxr"), F.max("col").alias("maxc"))
@@ -396,14 +401,17 @@ def mazes(spark: SparkSession, seeds: DataFrame, spec: Mapping[str, int | str])
 
 
 def random_layout(seed: int, rows: int, cols: int, free_share: float, loop_share: float) -> list[list[int]]:
-    """A spanning maze with some further walls opened until a share of cells is free, by seeded hashes; no open block of two by two arises."""
+    """A spanning maze with some further walls opened until a share of cells is free, by seeded hashes, each beside a free cell; no open block of two by two arises."""
     grid = perfect_maze(seed, {"version": "layout", "rows": rows, "cols": cols})
     inner = [(r, c) for r in range(1, rows - 1) for c in range(1, cols - 1) if grid[r][c] == 1]
     free = sum(v == 0 for line in grid for v in line)
     for r, c in sorted(inner, key=lambda p: stable_number("open", seed, *p)):
         if free >= free_share * rows * cols:
             break
-        ends = [grid[r - 1][c] == 0 and grid[r + 1][c] == 0, grid[r][c - 1] == 0 and grid[r][c + 1] == 0]
+        sides = [grid[r - 1][c] == 0, grid[r + 1][c] == 0, grid[r][c - 1] == 0, grid[r][c + 1] == 0]
+        if not any(sides):  # opened, it would be a part of its own
+            continue
+        ends = [sides[0] and sides[1], sides[2] and sides[3]]
         if not any(ends) and stable_number("pocket", seed, r, c) % 1000 >= 500 or any(ends) and stable_number("loop", seed, r, c) % 1000 >= 1000 * loop_share:
             continue
         blocks = [(r + a, c + b) for a in (-1, 0) for b in (-1, 0)]
@@ -426,7 +434,7 @@ def layout_penalties(seeds: DataFrame, rows: int, cols: int, free_share: float,
         for b in batches:
             yield pd.DataFrame({"seed": b["seed"].astype("int64"), "penalty": [penalty(int(s)) for s in b["seed"]]})
 
-    return seeds.select(F.col("seed").cast("long").alias("seed")).mapInPandas(run, "seed long, penalty double")
+    return _spread(seeds.select(F.col("seed").cast("long").alias("seed")), "seed").mapInPandas(run, "seed long, penalty double")
 
 
 def best_layouts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -118,6 +118,14 @@ def test_layouts(spark):
     assert len(some) == 8 and some[5] == max(2 - m["deadends"], m["deadends"] - 3, 0)
 
 
+def test_layouts_are_connected(spark):
+    """Some of these seeds opened a wall amid walls, which the metrics refuse."""
+    for seed in [*range(60), 85, 187, 249, 271, 321]:
+        grid = G.random_layout(seed, 9, 11, 0.5, 0.3)
+        assert len(G.Graph((r, c) for r, line in enumerate(grid) for c, v in enumerate(line) if v == 0).components()) == 1
+    assert G.layout_penalties(spark.range(80, 190).withColumnRenamed("id", "seed"), 9, 11, 0.5, 0.3, {"deadends": (2, 6)}).filter("penalty >= 0").count() == 110
+
+
 def test_diverse_cells_are_far_apart():
     g = G.Graph([(0, c) for c in range(9)])
     assert G.diverse_cells(g) == [(0, 0), (0, 8), (0, 4), (0, 2)]
