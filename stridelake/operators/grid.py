@@ -12,13 +12,16 @@ import json
 from collections import deque
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Cell = tuple[int, int]
 #: The neighbour order, and the constants of the path difficulty.
 STEPS: tuple[Cell, ...] = ((-1, 0), (1, 0), (0, -1), (0, 1))
+BATCH_ROWS = 20_000
 LENGTH_SCALE, W_LENGTH, W_BRANCH, W_DETOUR, TOP_SHARE = 20.0, 0.4, 0.3, 0.3, 0.10
 #: Weight and full mark of each part of the static difficulty.
 STATIC_PARTS = {"path": (0.28, 2.5), "turn": (0.14, 0.45), "junction": (0.14, 0.25), "articulation": (0.12, 0.30), "deadend": (0.10, 0.25), "bridge": (0.10, 0.60), "wall": (0.07, 0.65), "cycle": (0.05, 0.20)}
@@ -182,7 +185,7 @@ def distractors(graph: Graph, path: list[Cell], to_goal: Mapping[Cell, int]) ->
 
 
 def pair_records(graph: Graph, candidates: Iterable[Cell] | None = None) -> list[dict]:
-    """All ordered reachable pairs with path metrics and difficulty."""
+    """All ordered reachable pairs with path metrics and difficulty, one by one (the plain twin of ``pair_arrays``)."""
     cells = sorted(set(candidates)) if candidates is not None else graph.free
     trees = {c: graph.search(c) for c in cells}
     out = []
@@ -210,13 +213,22 @@ PAIR_SCHEMA = (
 
 
 def _spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows dealt over all shuffle partitions: small as they are, adaptive execution would leave their long work to one task."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    """Rows dealt over all shuffle partitions: small as they are, adaptive execution would leave their long work to one task.
 
+    Dealt by a hash of the key, as Spark drops a repartition by the key that rows are already grouped by.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
 
-def _per_map(cells: DataFrame, kernel, schema: str) -> DataFrame:
-    """Run a kernel on each map's free cells; one map is one row, so no cells are shuffled twice."""
+
+def _packed(cells: DataFrame) -> DataFrame:
+    """One row a map, with its free cells and its last row and column."""
     packed = cells.groupBy("map_id").agg(F.collect_list(F.when(F.col("is_free"), F.struct("row", "col"))).alias("free"), F.max("row").alias("maxr"), F.max("col").alias("maxc"))
+    return _spread(packed, "map_id")
+
+
+def _per_map(cells: DataFrame, kernel, schema: str) -> DataFrame:
+    """Run a kernel on each map's free cells; one map is one row, so no cells are shuffled twice.  Rows leave by ``BATCH_ROWS`` or a map."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -224,13 +236,88 @@ def _per_map(cells: DataFrame, kernel, schema: str) -> DataFrame:
             for m, free, maxr, maxc in zip(b["map_id"], b["free"], b["maxr"], b["maxc"], strict=True):
                 graph = Graph((int(c["row"]), int(c["col"])) for c in free)
                 rows += [{"map_id": int(m), **r} for r in kernel(graph, int(maxr) + 1, int(maxc) + 1)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+                if len(rows) >= BATCH_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    return _packed(cells).mapInPandas(run, schema)
+
+
+def pair_arrays(graph: Graph) -> dict[str, np.ndarray]:
+    """The columns of ``pair_records``, in its order: all paths are walked together, from their goals up the starts' trees."""
+    cells = sorted(set(graph.free))
+    number = {c: i for i, c in enumerate(cells)}
+    near = [[number[x] for x in graph.near[c]] for c in cells]
+    size = len(cells)
+    dist, parent = np.full((size, size), -1, np.int32), np.full((size, size), -1, np.int32)
+    for s in range(size):
+        d, up, queue = [-1] * size, [-1] * size, [s]
+        d[s] = 0
+        for c in queue:
+            for x in near[c]:
+                if d[x] < 0:
+                    d[x], up[x] = d[c] + 1, c
+                    queue.append(x)
+        dist[s], parent[s] = d, up
+    row, col = (np.array([c[i] for c in cells], np.int32) for i in (0, 1))
+    # exits[g, c]: neighbours of c that are on no shortest way from it to g
+    exits = np.zeros((size, size), np.int32)
+    for c, xs in enumerate(near):
+        for x in xs:
+            exits[:, c] += dist[:, x] != dist[:, c] - 1
+    at = np.array([number[c] for c in graph.free], np.int64)
+    s, g = np.repeat(at, len(at)), np.tile(at, len(at))
+    found = (s != g) & (dist[s, g] >= 0)
+    s, g = s[found], g[found]
+    order = np.argsort(-dist[s, g], kind="stable")  # the longest first, so those still on their way are the first ones
+    s, g = s[order], g[order]
+    n = dist[s, g]
+    away, points, total, bends = (np.zeros(len(s), np.int32) for _ in range(4))
+    c, move = g, np.zeros(0, np.int64)
+    city = lambda a, b: np.abs(row[a] - row[b]) + np.abs(col[a] - col[b])
+    left = city(c, g)
+    for step in range(int(n.max(initial=0))):
+        k = int(np.searchsorted(-n, -step, side="left"))  # paths of more than ``step`` steps
+        c, left = c[:k], left[:k]
+        up = parent[s[:k], c]
+        e = exits[g[:k], up] - (up != s[:k])
+        points[:k] += e > 0
+        total[:k] += e
+        before = city(up, g[:k])
+        away[:k] += left > before
+        turn = (row[c] - row[up]) * 2 + col[c] - col[up]
+        if step:
+            bends[:k] += turn != move[:k]
+        c, left, move = up, before, turn
+    first = exits[g, s]
+    branch = (first / 3 + (total - first) / 2) / n
+    manhattan = city(s, g)
+    length, detour = n / (n + LENGTH_SCALE), 1.0 - manhattan / n
+    out = {
+        "start_row": row[s], "start_col": col[s], "goal_row": row[g], "goal_col": col[g], "path_len": n, "manhattan": manhattan, "away_steps": away, "distractor_points": points, "distractor_exits": total,
+        "branch_score": branch, "length_score": length, "detour_score": detour, "difficulty": W_LENGTH * length + W_BRANCH * branch + W_DETOUR * detour, "turns": bends,
+    }
+    back = np.argsort(order, kind="stable")
+    return {k: v[back] for k, v in out.items()}
 
-    return packed.mapInPandas(run, schema)
 
+def pairs(cells: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """All ordered reachable pairs of each map as in ``pair_records``; of its columns, those asked for."""
+    types = {x.split()[0]: x for x in PAIR_SCHEMA.split(", ")}
+    schema = [types[x] for x in (types if columns is None else columns)]
+    names = [x.split()[0] for x in schema]
 
-def pairs(cells: DataFrame) -> DataFrame:
-    return _per_map(cells, lambda g, r, c: pair_records(g), PAIR_SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for m, free in zip(b.column("map_id").to_pylist(), b.column("free").to_pylist(), strict=True):
+                got = pair_arrays(Graph((c["row"], c["col"]) for c in free))
+                got["map_id"] = np.full(len(got["path_len"]), m, np.int64)
+                whole = pa.RecordBatch.from_arrays([pa.array(got[x]) for x in names], names=names)
+                for lo in range(0, whole.num_rows, BATCH_ROWS):
+                    yield whole.slice(lo, BATCH_ROWS)
+
+    return _packed(cells).mapInArrow(run, ", ".join(schema))
 
 
 def distances(cells: DataFrame) -> DataFrame:
@@ -329,9 +416,9 @@ def hard_pairs(pairs: DataFrame, alpha: float, top: int | None = None, longest:
     """The older difficulty (half relative length, half steps away), the length limit before the top n, ranks after both."""
     from stridelake.operators.ordered import rank_weights
 
-    far = pairs.groupBy("map_id").agg(F.max("path_len").alias("far"))
+    far = F.max("path_len").over(Window.partitionBy("map_id"))
     score = 0.5 * F.col("path_len") / F.col("far") + 0.5 * F.col("away_steps") / F.greatest(F.col("path_len"), F.lit(1))
-    p = pairs.join(far, "map_id").withColumn("hard", score).drop("far")
+    p = pairs.withColumn("far", far).withColumn("hard", score).drop("far")
     if longest is not None:
         p = p.filter(F.col("path_len") <= longest)
     order = ["hard", "path_len", "away_steps", "start_row", "start_col", "goal_row", "goal_col"]
@@ -346,9 +433,10 @@ def map_difficulty(pairs: DataFrame) -> DataFrame:
     from stridelake.operators.ordered import top_fraction
 
     order = ["difficulty", "path_len", "distractor_exits", "away_steps", "start_row", "start_col", "goal_row", "goal_col"]
-    top = top_fraction(pairs, ["map_id"], order, TOP_SHARE)
-    n = pairs.groupBy("map_id").agg(F.count(F.lit(1)).alias("pairs"), F.max("path_len").alias("diameter"))
-    return top.groupBy("map_id").agg(F.avg("difficulty").alias("map_difficulty"), F.count(F.lit(1)).alias("counted")).join(n, "map_id")
+    w = Window.partitionBy("map_id")
+    counted = pairs.withColumn("pairs", F.count(F.lit(1)).over(w)).withColumn("diameter", F.max("path_len").over(w))
+    top = top_fraction(counted, ["map_id"], order, TOP_SHARE)
+    return top.groupBy("map_id").agg(F.avg("difficulty").alias("map_difficulty"), F.count(F.lit(1)).alias("counted"), F.max("pairs").alias("pairs"), F.max("diameter").alias("diameter"))
 
 
 def stable_number(*parts, bits: int = 64) -> int:

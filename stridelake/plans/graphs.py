@@ -15,6 +15,9 @@ _E = f"""{_F}, e AS (SELECT a.map_id, a.c AS a, b.c AS b, CASE WHEN b.row < a.ro
 _D = f"""RECURSIVE {_E}, walk AS (SELECT map_id, c AS s, c, 0 AS d FROM f UNION SELECT w.map_id, w.s, e.b, w.d + 1 FROM walk w JOIN e ON e.map_id = w.map_id AND e.a = w.c WHERE w.d < 40),
     dist AS (SELECT map_id, s, c, min(d) AS d FROM walk GROUP BY ALL)"""
 
+_PAIR = ["map_id", "start_row", "start_col", "goal_row", "goal_col"]
+_RANKED = [*_PAIR, "path_len", "away_steps", "distractor_exits", "difficulty"]
+
 
 @query(f"""WITH {_F} SELECT map_id, row, col FROM f""")
 def exp5_free_cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +119,7 @@ def gr11_hard_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gr12_map_difficulty(spark: SparkSession, sf: str) -> DataFrame:
-    return G.map_difficulty(G.pairs(grid(spark, sf))).withColumn("map_difficulty", F.round("map_difficulty", 8))
+    return G.map_difficulty(G.pairs(grid(spark, sf), _RANKED)).withColumn("map_difficulty", F.round("map_difficulty", 8))
 
 
 @query()

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stridelake.operators import grid as G
+from stridelake.plans.catalog import QUERIES
 
 
 def random_cells(seed, rows=7, cols=8, share=0.6):
@@ -143,3 +145,33 @@ def test_hard_pairs_order_of_stages(spark):
     assert G.eval_pool(pairs, "all", 1).count() == 30
     with pytest.raises(ValueError):
         G.eval_pool(pairs, "odd", 1)
+
+
+PAIR_NAMES = [x.split()[0] for x in G.PAIR_SCHEMA.split(", ")]
+
+
+@pytest.mark.parametrize("cells", [random_cells(s, share=p) for s in range(4) for p in (0.5, 0.8)] + [[], [(0, 0)], [(0, 0), (2, 2)], [(r, c) for r in range(5) for c in range(6)]])
+def test_arrays_of_pairs_equal_the_pairs_one_by_one(cells):
+    g = G.Graph(cells)
+    got = G.pair_arrays(g)
+    assert list(zip(*(got[k].tolist() for k in PAIR_NAMES[1:]), strict=True)) == [tuple(r[k] for k in PAIR_NAMES[1:]) for r in G.pair_records(g)]
+
+
+def maps(spark, n):
+    """A table of maps of 5 by 6 cells, the first of them without a free cell."""
+    rows = [(m, r, c, m > 0 and (r + c + m) % 4 > 0) for m in range(n) for r in range(5) for c in range(6)]
+    return spark.createDataFrame(rows, "map_id long, row long, col long, is_free boolean")
+
+
+def test_pairs_of_small_maps_are_dealt_over_tasks_and_batches(spark):
+    cells = maps(spark, 40)
+    want = sorted((m, *(r[k] for k in PAIR_NAMES[1:])) for m in range(40) for r in G.pair_records(G.Graph((r, c) for r in range(5) for c in range(6) if m > 0 and (r + c + m) % 4 > 0)))
+    assert sorted(map(tuple, G.pairs(cells).collect())) == want
+    assert G.pairs(cells, ["turns", "map_id"]).columns == ["turns", "map_id"]
+    assert G.pairs(cells).select(F.spark_partition_id()).distinct().count() > 4
+
+
+@pytest.mark.parametrize("name", ["gr11_hard_pairs", "gr12_map_difficulty", "gr12_eval_pool", "tk2_older_order"])
+def test_ranked_pairs_are_made_once(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
