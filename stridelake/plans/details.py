@@ -135,7 +135,7 @@ def wn12_turns(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def tk2_older_order(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs in the order of the older difficulty, with their ranks."""
-    h = GR.hard_pairs(GR.pairs(grid(spark, sf)), 0.0)
+    h = GR.hard_pairs(GR.pairs(grid(spark, sf), ["map_id", "start_row", "start_col", "goal_row", "goal_col", "path_len", "away_steps"]), 0.0)
     w = Window.partitionBy("map_id").orderBy("hard", "path_len", "away_steps", "start_row", "start_col", "goal_row", "goal_col")
     return h.select("map_id", "start_row", "start_col", "goal_row", "goal_col", F.row_number().over(w).alias("pos"))
 
