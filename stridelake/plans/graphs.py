@@ -107,8 +107,8 @@ def gr9_distractors(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_D} SELECT map_id, CAST(s // 11 AS INTEGER) AS start_row, CAST(s % 11 AS INTEGER) AS start_col, CAST(c // 11 AS INTEGER) AS goal_row, CAST(c % 11 AS INTEGER) AS goal_col, CAST(d AS INTEGER) AS path_len,
     round(d / (d + 20.0::DOUBLE), 8) AS length_score, round(1 - (abs(s // 11 - c // 11) + abs(s % 11 - c % 11)) / d::DOUBLE, 8) AS detour_score FROM dist WHERE d > 0""")
 def gr10_pair_scores(spark: SparkSession, sf: str) -> DataFrame:
-    p = G.pairs(grid(spark, sf))
-    return p.select("map_id", "start_row", "start_col", "goal_row", "goal_col", "path_len", F.round("length_score", 8).alias("length_score"), F.round("detour_score", 8).alias("detour_score"))
+    p = G.pairs(grid(spark, sf), [*_PAIR, "path_len", "length_score", "detour_score"])
+    return p.select(*_PAIR, "path_len", F.round("length_score", 8).alias("length_score"), F.round("detour_score", 8).alias("detour_score"))
 
 
 @query()
