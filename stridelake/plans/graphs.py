@@ -113,7 +113,7 @@ def gr10_pair_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gr11_hard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    h = G.hard_pairs(G.pairs(grid(spark, sf)), 2.0, top=40, longest=20)
+    h = G.hard_pairs(G.pairs(grid(spark, sf), [*_PAIR, "path_len", "away_steps"]), 2.0, top=40, longest=20)
     return h.select("map_id", "start_row", "start_col", "goal_row", "goal_col", "path_len", F.round("hard", 8).alias("hard"), F.round("rank_score", 8).alias("rank_score"), F.round("sample_weight", 8).alias("sample_weight"))
 
 
