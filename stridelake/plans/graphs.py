@@ -124,7 +124,7 @@ def gr12_map_difficulty(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gr12_eval_pool(spark: SparkSession, sf: str) -> DataFrame:
-    p = G.eval_pool(G.pairs(grid(spark, sf)), "hard", 3, percent=5.0)
+    p = G.eval_pool(G.pairs(grid(spark, sf), _RANKED), "hard", 3, percent=5.0)
     return p.select("map_id", "start_row", "start_col", "goal_row", "goal_col", F.col("position").cast("long").alias("position"))
 
 
