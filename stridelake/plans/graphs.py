@@ -42,7 +42,7 @@ def gr1_distances(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def gr2_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Canonical paths by the order of the search, with turns and steps away; tested against a plain search."""
-    return G.pairs(grid(spark, sf)).select("map_id", "start_row", "start_col", "goal_row", "goal_col", "path_len", "turns", "away_steps")
+    return G.pairs(grid(spark, sf), [*_PAIR, "path_len", "turns", "away_steps"])
 
 
 _C = f"""WITH {_D}, comp AS (SELECT map_id, c, min(s) AS component FROM dist GROUP BY ALL)"""
