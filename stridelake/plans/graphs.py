@@ -101,7 +101,8 @@ def gr8_static_difficulty(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gr9_distractors(spark: SparkSession, sf: str) -> DataFrame:
-    return G.pairs(grid(spark, sf)).select("map_id", "start_row", "start_col", "goal_row", "goal_col", "distractor_points", "distractor_exits", F.round("branch_score", 8).alias("branch_score"))
+    p = G.pairs(grid(spark, sf), [*_PAIR, "distractor_points", "distractor_exits", "branch_score"])
+    return p.withColumn("branch_score", F.round("branch_score", 8)).select(*_PAIR, "distractor_points", "distractor_exits", "branch_score")
 
 
 @query(f"""WITH {_D} SELECT map_id, CAST(s // 11 AS INTEGER) AS start_row, CAST(s % 11 AS INTEGER) AS start_col, CAST(c // 11 AS INTEGER) AS goal_row, CAST(c % 11 AS INTEGER) AS goal_col, CAST(d AS INTEGER) AS path_len,
