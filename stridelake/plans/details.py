@@ -155,7 +155,7 @@ def tk8_nearest_free(spark: SparkSession, sf: str) -> DataFrame:
     free = all_walls.filter("is_free").agg(F.array_sort(F.collect_list(F.struct("row", "col"))).alias("free"))
     d = lambda s: (F.col("x") - (s["col"] + 0.5 - 5.5)) ** 2 + (F.col("y") - (4.5 - (s["row"] + 0.5))) ** 2
     best = F.array_min(F.transform("free", lambda s: F.struct(d(s).alias("d"), s["row"].alias("row"), s["col"].alias("col"))))
-    return positions(spark, sf).crossJoin(F.broadcast(free)).select("pos_id", best["row"].alias("row"), best["col"].alias("col"))
+    return positions(spark, sf).crossJoin(F.broadcast(free.filter(F.size("free") > 0))).select("pos_id", best["row"].alias("row"), best["col"].alias("col"))
 
 
 @query("""SELECT p_brand, arg_min(p_partkey, struct_pack(a := greatest(0, p_size - 30) + greatest(0, 10 - p_size), b := p_partkey)) AS best FROM part GROUP BY p_brand""")
