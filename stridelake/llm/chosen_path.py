@@ -29,6 +29,10 @@ leave the task, and are confirmed one by one; else the node's members do, and ar
 confirmed together, so what moves grows with the rows.  A block that is confirmed
 together has at most ``BLOCK_SHINGLES`` shingles and ``BLOCK_ROWS`` rows; more are cut in
 groups, and every two groups make a block.
+
+Texts stay in the table of rows: only those of classes in promising pairs move.  A class
+meets its leaders by two bits of each token, which pass all that the tokens would, and is
+compared by the low bytes; the first nodes move once for the leaders and once for the open nodes.
 """
 
 from __future__ import annotations
@@ -38,13 +42,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.llm import _text as X
 from stridelake.llm._store import cut, drop, width
 
-COORDS = 64
+COORDS = 64  # the bits of a long, as sketches need
 TREES = 8
 DEPTH = 6
 LEAF = 2048
@@ -108,9 +112,10 @@ def _describe(k: int):
                         sig[full, i] = np.minimum.reduceat((s * _A[i] + _B[i]) >> np.uint64(32), bound[full])
                 flat = s.astype("<u8").tobytes()
                 cls = [hashlib.blake2b(flat[8 * a : 8 * z], digest_size=16).digest() if z > a else None for a, z in zip(bound[:-1], bound[1:], strict=True)]
+                planes = sig.view(np.uint8).reshape(-1, COORDS, 4).transpose(0, 2, 1)  # the tokens' low bytes come first
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("fp"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), part.column("text")],
+                    [part.column("id"), part.column("fp"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array([x.tobytes() for x in planes], pa.binary()), part.column("text")],
                     names=["id", "fp", "n", "c", "sig", "text"],
                 )
 
@@ -137,29 +142,47 @@ def _children(path: np.ndarray, sig: np.ndarray, level: int) -> tuple[np.ndarray
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _tokens_of(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), "<u4").reshape(-1, COORDS)
+def _bytes(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint8)
 
 
 def _tokens(col: pa.Array) -> np.ndarray:
-    return _tokens_of(col.to_pylist())
+    planes = _bytes(col.to_pylist()).reshape(-1, 4, COORDS)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(-1, COORDS)
+
+
+def _low(sig: str = "sig") -> Column:
+    """The tokens' low bytes."""
+    return F.substring(sig, 1, COORDS)
+
+
+def _sketch(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two longs a row: the lowest and the second lowest bit of each token."""
+    return tuple(np.packbits((sig >> np.uint32(i) & np.uint32(1)).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0] for i in (0, 1))
 
 
 _NODE = "node long, c binary, comp binary"
 
 
 def _emit(batch: pa.RecordBatch, rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    at = pa.array(rows)
-    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), batch.column("c").take(at), batch.column("comp").take(at)], names=["node", "c", "comp"])
+    """The nodes of rows, with the batch's other columns than the tokens and nodes."""
+    at, names = pa.array(rows), [n for n in batch.schema.names if n not in ("sig", "node")]
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *(batch.column(n).take(at) for n in names)], names=["node", *names])
+
 
+def _roots(sketched: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = _tokens(batch.column("sig"))
+                if sketched:
+                    for name, bits in zip("xy", _sketch(sig), strict=True):
+                        batch = batch.append_column(name, pa.array(bits))
+                for tree in range(TREES):
+                    path = np.full(len(sig), X.mix(np.array([tree + 1], np.uint64))[0], np.uint64)
+                    yield _emit(batch, *_children(path, sig, 0))
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            sig = _tokens(batch.column("sig"))
-            for tree in range(TREES):
-                path = np.full(len(sig), X.mix(np.array([tree + 1], np.uint64))[0], np.uint64)
-                yield _emit(batch, *_children(path, sig, 0))
+    return run
 
 
 def _deeper(level: int):
@@ -172,10 +195,6 @@ def _deeper(level: int):
     return run
 
 
-def _first_nodes(classes: DataFrame) -> DataFrame:
-    return classes.select("c", "comp", "sig").mapInArrow(_roots, _NODE)
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -183,36 +202,40 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _low(sig: np.ndarray) -> np.ndarray:
-    return (sig & 0xFF).astype(np.uint8)
+def _stars(classes: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of each class and three leaders of each of its first nodes.
 
-
-def _stars(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each class and three leaders of each of its first nodes."""
-    label = F.coalesce(F.format_string("%020d", "label"), F.lit("~"))  # carried in the place of the component: the class of the smallest id is a leader
-    nodes = _first_nodes(classes.withColumn("comp", label.cast("binary")))
-    leaders = nodes.groupBy("node").agg(F.min("c").alias("l1"), F.max("c").alias("l2"), F.min(F.struct("comp", "c"))["c"].alias("l3")).filter("l1 <> l2")
-    pairs = nodes.select("node", "c").join(leaders, "node").select("c", F.explode(F.array("l1", "l2", "l3")).alias("l")).filter("c <> l")
-    return pairs.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b")).distinct()
+    Two bits of a token agree where the token does, so pairs whose bits agree in fewer than ``least``
+    places aren't promising and don't leave the node.
+    """
+    label = F.coalesce("label", F.lit((1 << 63) - 1))  # the class of the smallest id is a leader
+    nodes = classes.select("c", label.alias("label"), "sig").mapInArrow(_roots(True), "node long, c binary, label long, x long, y long")
+    node, own = Window.partitionBy("node"), F.struct("c", "x", "y")
+    led = nodes.select("*", F.min(own).over(node).alias("l1"), F.max(own).over(node).alias("l2"), F.min(F.struct("label", "c", "x", "y")).over(node).alias("l3"))
+    led = led.filter("l1.c <> l2.c").select("c", "x", "y", F.explode(F.array("l1", "l2", F.struct("l3.c", "l3.x", "l3.y"))).alias("l"))
+    agree = F.lit(COORDS) - F.bit_count(F.col("x").bitwiseXOR(F.col("l.x")).bitwiseOR(F.col("y").bitwiseXOR(F.col("l.y"))))
+    return led.filter(F.col("c") != F.col("l.c")).filter(agree >= least).select(F.least("c", "l.c").alias("a"), F.greatest("c", "l.c").alias("b")).distinct()
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) whose tokens agree in ``least`` places."""
+    """Pairs (a, b) whose tokens' low bytes agree in ``least`` places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (_tokens(batch.column("sa")) == _tokens(batch.column("sb"))).sum(axis=1) >= least
-                yield batch.select(["a", "b"]).filter(pa.array(same))
+                same = _bytes(batch.column("la").to_pylist()) == _bytes(batch.column("lb").to_pylist())
+                yield batch.select(["a", "b"]).filter(pa.array(same.reshape(-1, COORDS).sum(axis=1) >= least))
 
-    sig = classes.select(F.col("c").alias("a"), F.col("sig").alias("sa"))
-    return pairs.join(sig, "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    low = classes.select(F.col("c").alias("a"), _low().alias("la"))
+    return pairs.join(low, "a").join(low.toDF("b", "lb"), "b").select("a", "b", "la", "lb").mapInArrow(run, "a binary, b binary")
 
 
 def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Texts of the classes in pairs (a, b), b possibly null; the others' texts needn't move."""
+    """A text of each class in pairs (a, b), b possibly null, from the rows' (c, text); the others' texts needn't move."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).filter("c is not null").distinct()
-    return texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_ENDS else ends, "c", "left_semi")
+    # the texts of a class have the same set, so any of them serves
+    one = lambda t: t.groupBy("c").agg(F.first("text").alias("text"))
+    return one(texts.join(F.broadcast(ends), "c", "left_semi")) if ends.count() <= BROADCAST_ENDS else one(texts).join(ends, "c", "left_semi")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
@@ -264,14 +287,14 @@ def components(links: DataFrame) -> DataFrame:
 
 def _open_nodes(classes: DataFrame) -> DataFrame | None:
     """Rows (node, i, j, c, comp) of nodes, or of pairs of groups (i, j) of a node, that a task can compare; None if all is done."""
-    rows, found = _first_nodes(classes), []
+    rows, found = classes.select("c", "comp", "sig").mapInArrow(_roots(False), _NODE), []
+    whole_node = Window.partitionBy("node")
     for level in range(DEPTH + 1):
-        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        size = cut(size.filter("lo <> hi").select("node", "size"), f"open{level}")
-        most = size.agg(F.max("size")).first()[0] or 0
+        sized = rows.select("*", F.count(F.lit(1)).over(whole_node).alias("size"), F.min("comp").over(whole_node).alias("lo"), F.max("comp").over(whole_node).alias("hi"))
+        here = cut(sized.filter("lo <> hi").select("node", "size", "c", "comp"), f"open{level}")
+        most = here.agg(F.max("size")).first()[0] or 0
         if not most:
             break
-        here = rows.join(size, "node")
         whole = here.filter(F.col("size") <= LEAF) if most > LEAF else here
         found.append(whole.select("node", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "c", "comp"))
         if most <= LEAF:
@@ -283,7 +306,7 @@ def _open_nodes(classes: DataFrame) -> DataFrame | None:
             dealt = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)))
             found.append(dealt.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "comp"))
             break
-        rows = cut(large.select("node", "c", "comp").join(classes.select("c", "sig"), "c").select("node", "c", "comp", "sig").mapInArrow(_deeper(level + 1), _NODE), f"rows{level}")
+        rows = large.select("node", "c", "comp").join(classes.select("c", "sig"), "c").select("node", "c", "comp", "sig").mapInArrow(_deeper(level + 1), _NODE)
     return _union(found) if found else None
 
 
@@ -319,11 +342,11 @@ def _residual(nodes: DataFrame, classes: DataFrame, least: int) -> DataFrame:
         code = np.array([names.setdefault(x, len(names)) for x in comp])
         if len(names) < 2:
             return
-        sig = _low(_tokens_of([h[3] for h in held]))
+        low = _bytes([h[3] for h in held]).reshape(-1, COORDS)
         pairs, member, many = [], np.zeros(len(held), bool), 0
         for lo in range(0, len(held), 64):
             x = np.arange(lo, min(lo + 64, len(held)))
-            hit = (sig[x][:, None, :] == sig[lo:][None, :, :]).sum(axis=2) >= least
+            hit = (low[x][:, None, :] == low[lo:][None, :, :]).sum(axis=2) >= least
             hit &= code[x][:, None] != code[lo:][None, :]
             p, q = np.nonzero(hit)
             later = x[p] < q + lo
@@ -363,7 +386,7 @@ def _residual(nodes: DataFrame, classes: DataFrame, least: int) -> DataFrame:
             yield from compare(key, held)
 
     keys = ["node", "i", "j"]
-    rows = nodes.join(classes.select("c", "n", "sig"), "c").select(*keys, "c", "comp", "n", "sig")
+    rows = nodes.join(classes.select("c", "n", _low().alias("low")), "c").select(*keys, "c", "comp", "n", "low")
     return rows.repartition(width(nodes.sparkSession), *keys).sortWithinPartitions(*keys, "c").mapInArrow(run, _FOUND)
 
 
@@ -442,14 +465,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, similarity_pct: int = 80, id_co
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     src = src.select("id", F.xxhash64("text").alias("fp"), "text")
     rows = cut(src.mapInArrow(_describe(k), "id long, fp long, n long, c binary, sig binary, text string"), "rows")
-    # the texts of a class have the same set, so any of them serves
-    classes = rows.filter("n > 0").groupBy("c").agg(F.min("id").alias("label"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("text").alias("text"))
-    classes = cut(classes, "classes")
-    texts = classes.select("c", "text")
-    first = cut(_promising(_stars(classes), classes, least), "stars")
+    filled = rows.filter("n > 0")
+    classes = cut(filled.groupBy("c").agg(F.min("id").alias("label"), F.max("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    texts = filled.select("c", "text")
+    first = cut(_promising(_stars(classes, least), classes, least), "stars")
     links = cut(_confirmed(first, _texts_of(texts, first), k, similarity_pct), "links")
     state = components(links)
-    placed = cut(classes.select("c", "label", "n", "sig").join(state, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "placed")
+    placed = cut(classes.join(state, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "placed")
+    drop(classes)  # what follows doesn't read it
     named = placed.select("c", "label", "comp")
     nodes = _open_nodes(placed)
     if nodes is not None:
@@ -462,8 +485,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similarity_pct: int = 80, id_co
         if not links.isEmpty():
             joined = components(links).toDF("comp", "to")
             named = named.join(joined, "comp", "left").select("c", "label", F.coalesce("to", "comp").alias("comp"))
-    for table in (classes, first):  # what follows doesn't read them
-        drop(table)
+    drop(first)
     lowest = named.groupBy("comp").agg(F.min("label").alias("component_id"))
     named = named.join(lowest, "comp").select("c", "component_id")
     out = rows.select("id", "fp", "n", "c").join(named, "c", "left")

@@ -125,3 +125,30 @@ def test_a_pair_at_the_threshold_meets_in_a_tree():
 
 def test_small_table(make, small):
     assert run(make(small)) == brute.near(small)
+
+
+def moved(spark):
+    """Bytes written for shuffles so far."""
+    return spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_texts_in_no_pair_do_not_move(spark, make):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"{rnd.getrandbits(64):x}" for _ in range(2000))) for i in range(40)]
+    docs = make(rows).coalesce(1).localCheckpoint()
+    before = moved(spark)
+    assert run(docs) == {d: (1997, d) for d, _ in rows}
+    assert moved(spark) - before < sum(len(t) for _, t in rows) / 4
+
+
+def test_sketches_pass_what_tokens_pass():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 32, (200, C.COORDS), dtype=np.uint64).astype("<u4")
+    b = np.where(rng.random(a.shape) < rng.random((200, 1)), a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint64).astype("<u4"))
+    blobs = [r.view(np.uint8).reshape(C.COORDS, 4).T.tobytes() for r in a]
+    assert (C._tokens(pa.array(blobs, pa.binary())) == a).all()
+    assert all(x[: C.COORDS] == (r & 0xFF).astype(np.uint8).tobytes() for x, r in zip(blobs, a, strict=True))
+    (ax, ay), (bx, by) = C._sketch(a), C._sketch(b)
+    agree = np.array([C.COORDS - bin(int(x) & (1 << 64) - 1).count("1") for x in (ax ^ bx) | (ay ^ by)])
+    assert (agree == ((a & 3) == (b & 3)).sum(axis=1)).all()
+    assert (agree >= (a == b).sum(axis=1)).all()
