@@ -59,6 +59,8 @@ COLUMNS = 4096
 BLOCK_BYTES = 2 << 20
 FILE_ROWS = 50_000  # of the tables of links
 BROADCAST_ENDS = 200_000  # classes of 16 bytes
+FILTER_BITS = 1 << 27  # of what stands for more of them: 16 MB
+CHUNK_BITS = 1 << 18
 #: Agreeing tokens of 64 below which a pair isn't confirmed; at a similarity of 0.8 fewer come with a chance of 3e-6.
 AGREE_AT_80 = 36
 
@@ -230,12 +232,46 @@ def _promising(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return pairs.join(low, "a").join(low.toDF("b", "lb"), "b").select("a", "b", "la", "lb").mapInArrow(run, "a binary, b binary")
 
 
+def _sifted(texts: DataFrame, ends: DataFrame) -> DataFrame:
+    """Texts of ``ends`` and of the few other classes that share a bit with one; more ends let more of those through and lose none."""
+    bit = F.pmod(F.xxhash64("c"), F.lit(FILTER_BITS)).alias("bit")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bits = np.sort(batch.column("bit").to_numpy())
+            chunks, first = np.unique(bits // CHUNK_BITS, return_index=True)
+            for chunk, own in zip(chunks.tolist(), np.split(bits, first[1:]), strict=True):
+                held.setdefault(chunk, np.zeros(CHUNK_BITS, bool))[own % CHUNK_BITS] = True
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], names=["chunk", "packed"])
+
+    spark = texts.sparkSession
+    chunk = F.floor(F.col("bit") / CHUNK_BITS)
+    packed = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in ends.select(bit).repartition(width(spark), chunk).mapInArrow(pack, "chunk long, packed binary").collect():
+        at = r.chunk * CHUNK_BITS // 8
+        packed[at : at + CHUNK_BITS // 8] = np.frombuffer(r.packed, np.uint8)
+    shared = spark.sparkContext.broadcast(packed.tobytes())
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            bits = batch.column("bit").to_numpy()
+            hit = packed[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8) & 1
+            yield batch.select(["c", "text"]).filter(pa.array(hit.astype(bool)))
+
+    return texts.select("c", "text", bit).mapInArrow(sift, "c binary, text string")
+
+
 def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """A text of each class in pairs (a, b), b possibly null, from the rows' (c, text); the others' texts needn't move."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).filter("c is not null").distinct()
     # the texts of a class have the same set, so any of them serves
     one = lambda t: t.groupBy("c").agg(F.first("text").alias("text"))
-    return one(texts.join(F.broadcast(ends), "c", "left_semi")) if ends.count() <= BROADCAST_ENDS else one(texts).join(ends, "c", "left_semi")
+    if ends.count() <= BROADCAST_ENDS:
+        return one(texts.join(F.broadcast(ends), "c", "left_semi"))
+    return one(_sifted(texts, ends)).join(ends, "c", "left_semi")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, pct: int) -> bool:

@@ -132,13 +132,23 @@ def moved(spark):
     return spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
 
 
-def test_texts_in_no_pair_do_not_move(spark, make):
+@pytest.mark.parametrize("ends", [C.BROADCAST_ENDS, 0])
+def test_texts_in_no_pair_do_not_move(spark, make, monkeypatch, ends):
+    monkeypatch.setattr(C, "BROADCAST_ENDS", ends)
     rnd = random.Random(8)
     rows = [(i, " ".join(f"{rnd.getrandbits(64):x}" for _ in range(2000))) for i in range(40)]
+    rows.append((40, rows[7][1] + " more"))
     docs = make(rows).coalesce(1).localCheckpoint()
-    before = moved(spark)
-    assert run(docs) == {d: (1997, d) for d, _ in rows}
-    assert moved(spark) - before < sum(len(t) for _, t in rows) / 4
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold") if not ends else ()  # as for more ends than the test has
+    for name in settings:
+        spark.conf.set(name, "-1")
+    try:
+        before = moved(spark)
+        assert run(docs) == {d: (1997, d) for d in range(40)} | {40: (1998, 7)}
+        assert moved(spark) - before < sum(len(t) for _, t in rows) / 2
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
 
 
 def test_sketches_pass_what_tokens_pass():
