@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm._store import cut
+from stridelake.llm._store import cut, gathered
 from stridelake.llm.chosen_path import near_duplicates
 from stridelake.llm.decontaminate import contaminated
 from stridelake.llm.mixing import mix
@@ -21,23 +21,23 @@ from stridelake.llm.token_orc import tokens_to_orc
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     scored = score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return select_rows(docs, scored.filter("not kept"), "left_anti")
+    return gathered(select_rows(docs, scored.filter("not kept"), "left_anti"), docs.count())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest id stays."""
-    return select_rows(docs, near_duplicates(docs, k=5, similarity_pct=80).filter("not kept"), "left_anti")
+    return gathered(select_rows(docs, near_duplicates(docs, k=5, similarity_pct=80).filter("not kept"), "left_anti"), docs.count())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
-    return select_rows(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti")
+    return gathered(select_rows(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti"), docs.count())
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the tokens, dealt to domains, languages and sources by weight."""
     taken = mix(docs, mixing_levels(), MIX_WEIGHTS, budget=0.9, epochs=1, seed=7)
-    return select_rows(docs, taken.select("doc_id", "fp", "epoch").distinct(), "inner")
+    return gathered(select_rows(docs, taken.select("doc_id", "fp", "epoch").distinct(), "inner"), docs.count())
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

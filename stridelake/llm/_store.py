@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 OWN_DIR = "stridelake.shared.dir"
+ROWS_A_FILE = 2500  # documents, classes or what goes with one of them
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -50,6 +51,15 @@ def cut(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in a partition for each ``ROWS_A_FILE`` of ``rows``, or for each core if that is more; never in more than it has.
+
+    Many more shuffle partitions than that would only write small files.  Each costs a local file system two
+    processes, which set its permissions and share the executor's memory while they start.
+    """
+    return df.coalesce(max(1 + rows // ROWS_A_FILE, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

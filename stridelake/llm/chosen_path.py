@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.llm import _text as X
-from stridelake.llm._store import cut, drop, width
+from stridelake.llm._store import cut, drop, gathered, width
 
 COORDS = 64  # the bits of a long, as sketches need
 TREES = 8
@@ -321,13 +321,13 @@ def components(links: DataFrame) -> DataFrame:
             return state.select("c", "comp")
 
 
-def _open_nodes(classes: DataFrame) -> DataFrame | None:
-    """Rows (node, i, j, c, comp) of nodes, or of pairs of groups (i, j) of a node, that a task can compare; None if all is done."""
+def _open_nodes(classes: DataFrame, total: int) -> DataFrame | None:
+    """Rows (node, i, j, c, comp) of nodes, or of pairs of groups (i, j) of a node, that a task can compare; None if all is done.  ``total``: the classes."""
     rows, found = classes.select("c", "comp", "sig").mapInArrow(_roots(False), _NODE), []
     whole_node = Window.partitionBy("node")
     for level in range(DEPTH + 1):
         sized = rows.select("*", F.count(F.lit(1)).over(whole_node).alias("size"), F.min("comp").over(whole_node).alias("lo"), F.max("comp").over(whole_node).alias("hi"))
-        here = cut(sized.filter("lo <> hi").select("node", "size", "c", "comp"), f"open{level}")
+        here = cut(gathered(sized.filter("lo <> hi").select("node", "size", "c", "comp"), total), f"open{level}")
         most = here.agg(F.max("size")).first()[0] or 0
         if not most:
             break
@@ -502,21 +502,23 @@ def near_duplicates(docs: DataFrame, k: int = 4, similarity_pct: int = 80, id_co
     src = src.select("id", F.xxhash64("text").alias("fp"), "text")
     rows = cut(src.mapInArrow(_describe(k), "id long, fp long, n long, c binary, sig binary, text string"), "rows")
     filled = rows.filter("n > 0")
-    classes = cut(filled.groupBy("c").agg(F.min("id").alias("label"), F.max("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = filled.groupBy("c").agg(F.min("id").alias("label"), F.max("n").alias("n"), F.first("sig").alias("sig"))
+    classes = cut(gathered(classes, rows.count()), "classes")
+    total = classes.count()  # what follows goes with the classes
     texts = filled.select("c", "text")
-    first = cut(_promising(_stars(classes, least), classes, least), "stars")
-    links = cut(_confirmed(first, _texts_of(texts, first), k, similarity_pct), "links")
+    first = cut(gathered(_promising(_stars(classes, least), classes, least), total), "stars")
+    links = cut(gathered(_confirmed(first, _texts_of(texts, first), k, similarity_pct), total), "links")
     state = components(links)
-    placed = cut(classes.join(state, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "placed")
+    placed = cut(gathered(classes.join(state, "c", "left").withColumn("comp", F.coalesce("comp", "c")), total), "placed")
     drop(classes)  # what follows doesn't read it
     named = placed.select("c", "label", "comp")
-    nodes = _open_nodes(placed)
+    nodes = _open_nodes(placed, total)
     if nodes is not None:
-        more = cut(_residual(nodes, placed, least), "residual")
+        more = cut(gathered(_residual(nodes, placed, least), total), "residual")
         sparse = more.filter("block is null").select("a", "b", "ca", "cb").distinct().join(first, ["a", "b"], "left_anti")
         texts = _texts_of(texts, more)
         found = _confirmed(sparse, texts, k, similarity_pct, ("ca", "cb")).unionByName(_confirmed_blocks(more.filter("block is not null"), texts, k, similarity_pct))
-        links = cut(found.distinct().toDF("a", "b"), "links")
+        links = cut(gathered(found.distinct().toDF("a", "b"), total), "links")
         drop(more)
         if not links.isEmpty():
             joined = components(links).toDF("comp", "to")

@@ -20,7 +20,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm._store import cut
+from stridelake.llm._store import cut, gathered
 
 BROADCAST_LEAVES = 100_000
 EXACT = 2048
@@ -84,26 +84,26 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, f
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("n_tokens"),
     )
     rows = cut(src.groupBy("id", "fp", *names, "n_tokens").agg(F.count(F.lit(1)).alias("copies")), "rows")
-    leaves = cut(rows.groupBy(*names).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens")), "leaves")
+    leaves = cut(gathered(rows.groupBy(*names).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens")), rows.count()), "leaves")
     count, total = leaves.agg(F.count(F.lit(1)), F.sum("tokens")).first()
     total = total or 0
     wanted = min(float(int(budget * total) if budget <= 1 else int(budget)), float(epochs * total))
     given = allocate(leaves.select(*names, (F.lit(float(epochs)) * F.col("tokens")).alias("cap")), names, weights, wanted)
     plans = leaves.join(given, names).withColumn("leaf_budget", F.least(F.floor(F.col("given") + 1e-6), F.col("tokens") * epochs))
     plans = plans.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("leaf_budget") / F.col("tokens"))).otherwise(epochs).cast("int"))
-    plans = cut(plans.select(*names, "leaf_budget", "whole", (F.col("leaf_budget") - F.col("whole") * F.col("tokens")).alias("rest")), "plan")
+    plans = cut(gathered(plans.select(*names, "leaf_budget", "whole", (F.col("leaf_budget") - F.col("whole") * F.col("tokens")).alias("rest")), count), "plan")
     side: Callable[[DataFrame], DataFrame] = F.broadcast if count <= BROADCAST_LEAVES else lambda x: x
     rows = rows.join(side(plans), names)
     keep = ["id", "fp", *names, "n_tokens", "leaf_budget", "copies"]
     taken = rows.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select(*keep, "epoch")
     key = F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null:"), F.col("fp").cast("string"))))
     part = rows.filter("rest > 0").withColumn("order", F.conv(F.substring(F.sha2(key, 256), 1, BITS // 4), 16, 10).cast("long"))
-    prefix = _prefix(part, names, side).select(*keep, F.col("whole").alias("epoch"))
+    prefix = _prefix(part, names, side, count).select(*keep, F.col("whole").alias("epoch"))
     out = taken.unionByName(prefix).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select(F.col("id").alias(id_col), "fp", *names, "epoch", "n_tokens", "leaf_budget")
 
 
-def _prefix(part: DataFrame, names: list[str], side: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _prefix(part: DataFrame, names: list[str], side: Callable[[DataFrame], DataFrame], leaves: int) -> DataFrame:
     """Rows whose tokens, summed in ``order`` over their leaf, stay within ``rest``."""
     leaf = Window.partitionBy(*names)
     weight = F.col("n_tokens") * F.col("copies")
@@ -119,7 +119,8 @@ def _prefix(part: DataFrame, names: list[str], side: Callable[[DataFrame], DataF
         sums = inside.groupBy(*names, "rest", "before", bucket.alias("bucket")).agg(F.sum(weight).alias("tokens"), F.count(F.lit(1)).alias("n"))
         upto = F.col("before") + F.sum("tokens").over(leaf.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         over = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("rest"))
-        edge = cut(over.groupBy(*names).agg(F.min(F.struct("bucket", F.expr("upto - tokens"), "n")).alias("e")).select(*names, F.col("e.bucket").alias("bucket"), F.col("e.col2").alias("before"), F.col("e.n").alias("n")), "edge")
+        edge = over.groupBy(*names).agg(F.min(F.struct("bucket", F.expr("upto - tokens"), "n")).alias("e"))
+        edge = cut(gathered(edge.select(*names, F.col("e.bucket").alias("bucket"), F.col("e.col2").alias("before"), F.col("e.n").alias("n")), leaves), "edge")
         if (edge.agg(F.max("n")).first()[0] or 0) <= EXACT:
             break
     at = part.join(side(edge.select(*names, "bucket", "before")), names, "left").withColumn("own", F.shiftright("order", shift))

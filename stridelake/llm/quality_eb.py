@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.llm import _text as X
-from stridelake.llm._store import cut
+from stridelake.llm._store import cut, gathered
 
 SAMPLE = 20_000
 THRESHOLD = 0.3  # a document goes only if it is rather sure to be bad
@@ -156,7 +156,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
 
     told = src.select("id", F.xxhash64("text").alias("fp"), "host", "path", "text").mapInArrow(run, "id long, fp long, host string, path string, logit double")
     told = cut(told.withColumn("p_doc", 1 / (1 + F.exp(-F.col("logit")))), "evidence")
-    paths = cut(told.groupBy("host", "path").agg(F.sum("p_doc").alias("s"), F.count(F.lit(1)).alias("n")), "paths")
+    paths = cut(gathered(told.groupBy("host", "path").agg(F.sum("p_doc").alias("s"), F.count(F.lit(1)).alias("n")), told.count()), "paths")
     whole = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     total = float(whole.n or 0)
     base = min(max((whole.s or 0.0) / total if total else 0.5, 1e-6), 1 - 1e-6)

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
-from stridelake.llm import quality_eb
+from stridelake.llm import _store, chosen_path, mixing, quality_eb
 from stridelake.llm.queries import MIX_WEIGHTS
 from tests.llm import brute
 from tests.llm.test_decontaminate import plain
@@ -131,3 +132,30 @@ def test_odd_documents_pass_every_stage(spark, make, odd):
 
 def test_run_equals_the_stages(spark, stages):
     assert sorted(map(tuple, C.run(spark, D).collect())) == sorted(map(tuple, stages[4][1].collect()))
+
+
+def test_small_tables_have_few_files(spark, monkeypatch, tmp_path):
+    """More shuffle partitions than the rows need don't make more files, each of which starts processes."""
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files = {k: spark.conf.get(k) for k in settings}, {}
+
+    def cut(df, name, parts=None):
+        out = _store.cut(df, name, parts)
+        files[name] = len(list(Path(out._cut_path.removeprefix("file:")).glob("part-*")))
+        return out
+
+    for m in (chosen_path, quality_eb, mixing):
+        monkeypatch.setattr(m, "cut", cut)
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for i, (_, f) in enumerate(C.STAGES[:-1]):
+            f(spark, docs, D).write.parquet(path := str(tmp_path / str(i)))
+            files[i] = len(list(Path(path).glob("part-*")))
+            docs = spark.read.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    held = {"classes", "stars", "placed", "paths", "leaves", "plan", "edge", 0, 1, 2, 3}
+    assert held <= files.keys() and all(files[x] <= 8 for x in held), files

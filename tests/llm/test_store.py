@@ -29,3 +29,10 @@ print("ROOT", shared_root(build_session("t", "local[1]", 1, spark__checkpoint__d
 def test_the_named_folder_is_taken():
     r = subprocess.run([sys.executable, "-c", NAMED], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=100)
     assert "ROOT file:///tmp/named\n" in r.stdout, r.stderr
+
+
+def test_gathered(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROWS_A_FILE", 10)
+    parts = lambda n, rows: S.gathered(spark.range(0, 1000, 1, n), rows).rdd.getNumPartitions()
+    assert parts(64, 1000) == 64 and parts(64, 300) == 31 and parts(64, 5) == 8 and parts(3, 5) == 3
+    assert S.gathered(spark.range(0, 1000, 1, 64), 5).agg({"id": "sum"}).first()[0] == 499500
